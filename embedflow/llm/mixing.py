@@ -60,6 +60,7 @@ def mixed_sources(
     shard_tokens: int = 2_000_000,
     most_shards: int = 10_000,
     most_sources: int = 10_000,
+    fill_rounds: int = 8,
     seed: int = 17,
 ) -> DataFrame:
     """(shard, position, source, id, copy, n_tokens, target_share, reached_share): the mix, one row for each use of a record.
@@ -67,7 +68,7 @@ def mixed_sources(
     targets: (source, target_share, max_repeats), at most most_sources rows; the same source may not come twice.
     Names are compared trimmed and in lower case; records of other or null sources, without tokens or without id take
     no part. reached_share is the source's share of all tokens of the mix. Each source's tokens are met from
-    below: the cut of its order leaves less than a record open, which the best fitting unused record then takes. Copies under other ids count as records of their own; an empty frame gives an empty one.
+    below: the cut of its order leaves less than a record open, which up to fill_rounds unused records, the best fitting each time, then take. Copies under other ids count as records of their own; an empty frame gives an empty one.
     """
     spark = documents.sparkSession
     # trim() takes U+0020 alone
@@ -100,11 +101,21 @@ def mixed_sources(
     uses = placed.withColumn("copy", F.explode(F.sequence(F.lit(0), F.col("r") - 1))).withColumn("at", F.col("start") + F.col("copy") * F.col("total"))
     uses = materialize(uses.where("at <= quota + total").select("source", "id", "copy", "n_tokens", "at", "quota"), "uses")
     used = uses.where("at + n_tokens <= quota")
-    # what the cut leaves open in a source is met by the one unused record that fits best: a row a source
-    open_part = used.groupBy("source").agg(F.sum("n_tokens").alias("t")).join(F.broadcast(drawn), "source", "right").select("source", (F.col("quota") - F.coalesce("t", F.lit(0))).alias("open"))
-    fits = uses.where("at + n_tokens > quota").join(F.broadcast(open_part), "source").where("n_tokens <= open")
-    last = fits.groupBy("source").agg(F.max_by(F.struct("id", "copy", "n_tokens"), F.struct("n_tokens", (-F.col("at")).alias("a"), (-F.col("id")).alias("i"))).alias("x"))
-    used = used.select("source", "id", "copy", "n_tokens", "at").unionByName(last.select("source", "x.*").join(F.broadcast(drawn), "source").select("source", "id", "copy", "n_tokens", (F.col("quota") - 1).alias("at")))
+    # what the cut leaves open in a source, less than a record, is met by the unused record that fits best, a few times
+    kept = used.select("source", "id", "copy", "n_tokens", "at")
+    spare = uses.where("at + n_tokens > quota")
+    left = {s: q for s, q in quota.items()} | {x.source: quota[x.source] - x.t for x in kept.groupBy("source").agg(F.sum("n_tokens").alias("t")).collect()}
+    picked: list[tuple] = []
+    for _ in range(fill_rounds):
+        gap = spark.createDataFrame([(s, n) for s, n in left.items()], "source string, gap long")
+        taken = spark.createDataFrame([(x[1], x[2]) for x in picked], "id long, copy int")
+        fits = spare.join(F.broadcast(gap), "source").where("n_tokens <= gap").join(F.broadcast(taken), ["id", "copy"], "left_anti")
+        best = fits.groupBy("source").agg(F.max_by(F.struct("id", "copy", "n_tokens"), F.struct("n_tokens", (-F.col("at")).alias("a"), (-F.col("id")).alias("i"))).alias("x")).collect()
+        picked += [(b.source, b.x.id, b.x.copy, b.x.n_tokens, max(0, quota[b.source] - 1)) for b in best]
+        left = {b.source: left[b.source] - b.x.n_tokens for b in best if left[b.source] > b.x.n_tokens}
+        if not left:
+            break
+    used = kept.unionByName(spark.createDataFrame(picked, "source string, id long, copy int, n_tokens long, at long"))
 
     @F.pandas_udf("int")
     def shard_of(source: pd.Series, at: pd.Series) -> pd.Series:

@@ -8,10 +8,12 @@ from typing import NamedTuple
 
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from embedflow.operators.running import position, running_sum
+
 # Unicode White_Space
 WHITE_SPACE = "\t\n\x0b\x0c\r \x85\xa0                　"
 # Reasons for which a line is skipped
@@ -87,21 +89,18 @@ def parse_lines(lines: DataFrame, line_col: str = "line") -> DataFrame:
     return lines.select(*kept, parse_udf(F.col(f"`{line_col}`")).alias("_p")).select(*kept, "_p.*")
 
 
-def with_batches(lines: DataFrame, order_col: str = "line_no", stream_col: str | None = None, is_end: Column | None = None) -> DataFrame:
-    """Adds batch_no: the number of batch ends before a line, within its stream.
-
-    A batch number depends on all lines before it. Without a stream column this is one ordered pass over all lines,
-    so give the column that tells streams apart wherever there are many.
-    """
-    end = F.col("kind") == "flush" if is_end is None else is_end
-    w = Window.partitionBy(*([stream_col] if stream_col else [])).orderBy(order_col).rowsBetween(Window.unboundedPreceding, -1)
-    return lines.withColumn("batch_no", F.coalesce(F.sum(end.cast("int")).over(w), F.lit(0)).cast("int"))
+def with_batches(lines: DataFrame, order_col: str = "line_no", stream_col: str | None = None, is_end: Column | None = None, bucket_rows: int = 65_536) -> DataFrame:
+    """Adds batch_no: the number of batch ends before a line, within its stream; order_col is a whole number."""
+    end = F.coalesce((F.col("kind") == "flush") if is_end is None else is_end, F.lit(False)).cast("long")
+    bucket = F.floor(F.col(order_col) / bucket_rows)
+    out = running_sum(lines.drop("batch_no"), end, [order_col], bucket, "batch_no", [stream_col] if stream_col else [])
+    return out.withColumn("batch_no", F.col("batch_no").cast("int"))
 
 
-def with_chunks(records: DataFrame, size: int = 1024, order_col: str = "line_no", by: tuple[str, ...] = ("batch_no",)) -> DataFrame:
-    """Adds chunk_no: records of a batch in runs of `size`; the count starts again with each batch."""
-    w = Window.partitionBy(*by).orderBy(order_col)
-    return records.withColumn("chunk_no", F.floor((F.row_number().over(w) - 1) / F.lit(size)).cast("int"))
+def with_chunks(records: DataFrame, size: int = 1024, order_col: str = "line_no", by: tuple[str, ...] = ("batch_no",), bucket_rows: int = 65_536) -> DataFrame:
+    """Adds index, the position of a record in its batch, and chunk_no: batches in runs of `size`."""
+    out = position(records, [order_col], F.floor(F.col(order_col) / bucket_rows), "index", by)
+    return out.withColumn("index", F.col("index").cast("int")).withColumn("chunk_no", F.floor(F.col("index") / size).cast("int"))
 
 
 def with_prefix(records: DataFrame, prefix: Column | str, text_col: str = "text") -> DataFrame:

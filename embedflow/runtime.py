@@ -2,11 +2,16 @@
 
 from __future__ import annotations
 
+import os
 import tempfile
 import uuid
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
+_shipped: set[tuple[str, str]] = set()
+
 DEFAULTS = {
     "spark.sql.session.timeZone": "UTC",
     "spark.sql.adaptive.enabled": "true",
@@ -24,6 +29,22 @@ def local_session(cores: int | str = 8, shuffle_partitions: int = 8, **conf: str
     return builder.getOrCreate()
 
 
+def ship(spark: SparkSession) -> SparkSession:
+    """Send the package to the executors, unless their Python finds it already (PYTHONPATH, or local mode's folder)."""
+    root = Path(__file__).resolve().parent.parent
+    known = [Path(p or ".").resolve() for p in os.environ.get("PYTHONPATH", "").split(os.pathsep)]
+    local = spark.sparkContext.master.startswith("local[") and Path.cwd() == root
+    key = (spark.sparkContext.applicationId, str(root))
+    if root not in known and not local and key not in _shipped:
+        _shipped.add(key)
+        packed = Path(tempfile.mkdtemp(prefix="embedflow-")) / "embedflow.zip"  # on the driver, which serves it
+        with zipfile.ZipFile(packed, "w") as z:
+            for f in sorted((root / "embedflow").rglob("*.py")):
+                z.write(f, f.relative_to(root))
+        spark.sparkContext.addPyFile(str(packed))
+    return spark
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder that all executors share: spark.checkpoint.dir, or one of our own where it is unset (tests)."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()

@@ -6,6 +6,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 # Special ids, the default limits and shapes
 PAD, CLS, SEP, FIRST_ID = 0, 1, 2, 3
@@ -72,7 +73,7 @@ def fnv1a(data: bytes) -> int:
     return h
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def fnv1a_hex(text: pd.Series) -> pd.Series:
     """64 bit FNV-1a of the UTF-8 bytes as 16 hex digits; the texts of a batch are hashed byte column by byte column."""
     raw = [None if t is None else t.encode() for t in text]

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -12,6 +13,11 @@ ERF_P = 0.3275911
 ERF_A = (0.254829592, -0.284496736, 1.421413741, -1.453152027, 1.061405429)
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body over a value that is computed once: inside a lambda Spark would compute it again for each element."""
+    return F.transform(F.array(value), body)[0]
+
+
 def total(v: Column) -> Column:
     """Sum of the values in double precision, in order."""
     return F.aggregate(v, F.lit(0.0), lambda a, x: a + x.cast("double"))
@@ -33,8 +39,7 @@ def cosine(a: Column, b: Column) -> Column:
 
 def l2_normalize(v: Column) -> Column:
     """Norm in double, then a float division; the zero vector stays."""
-    n = norm(v).cast("float")
-    return F.when(n == 0, v).otherwise(F.transform(v, lambda x: (x / n).cast("float")))
+    return let(norm(v).cast("float"), lambda n: F.when(n == 0, v).otherwise(F.transform(v, lambda x: (x / n).cast("float"))))
 
 
 def is_usable(v: Column, dim: int) -> Column:
@@ -51,11 +56,9 @@ def defect(v: Column, dim: int) -> Column:
 
 def layer_norm(v: Column, eps: float = 1e-5, gamma: Column | None = None) -> Column:
     """Scale only, no shift."""
-    n = F.size(v)
-    mean = total(v) / n
-    centred = F.transform(v, lambda x: x.cast("double") - mean)
-    var = F.aggregate(centred, F.lit(0.0), lambda a, x: a + x * x) / n
-    out = F.transform(centred, lambda x: x / F.sqrt(var + F.lit(eps)))
+    centred = let(total(v) / F.size(v), lambda mean: F.transform(v, lambda x: x.cast("double") - mean))
+    scale = lambda c: F.sqrt(F.aggregate(c, F.lit(0.0), lambda a, x: a + x * x) / F.size(c) + F.lit(eps))
+    out = let(centred, lambda c: let(scale(c), lambda s: F.transform(c, lambda x: x / s)))
     return out if gamma is None else F.zip_with(out, gamma, lambda x, g: x * g)
 
 
@@ -112,23 +115,22 @@ def largest(v: Column) -> Column:
 
 def int8_scale(v: Column) -> Column:
     """max |v| / 127; 1 for a zero row."""
-    m = largest(v)
-    return F.when(m == 0, F.lit(1.0)).otherwise(m / 127.0)
+    return let(largest(v), lambda m: F.when(m == 0, F.lit(1.0)).otherwise(m / 127.0))
 
 
 def int8_codes(v: Column, scale: Column) -> Column:
     """Rounded half away from zero and clamped to -127..127."""
-    return F.transform(v, lambda x: F.greatest(F.lit(-127), F.least(F.lit(127), F.round(x.cast("double") / scale).cast("int"))))
+    return let(scale, lambda s: F.transform(v, lambda x: F.greatest(F.lit(-127), F.least(F.lit(127), F.round(x.cast("double") / s).cast("int")))))
 
 
 def int8_blocks(v: Column, dim: int, block: int) -> Column:
     """(scale, codes) of each block of a row."""
     parts = F.transform(F.sequence(F.lit(0), F.lit((dim - 1) // block)), lambda b: F.slice(v, b * block + 1, block))
-    return F.transform(parts, lambda p: F.struct(int8_scale(p).alias("scale"), int8_codes(p, int8_scale(p)).alias("codes")))
+    return F.transform(parts, lambda p: let(int8_scale(p), lambda s: F.struct(s.alias("scale"), int8_codes(p, s).alias("codes"))))
 
 
 def dequantize(codes: Column, scale: Column) -> Column:
-    return F.transform(codes, lambda q: q * scale)
+    return let(scale, lambda s: F.transform(codes, lambda q: q * s))
 
 
 def strided(buffer: Column, rows: int, columns: int, row_stride: int) -> Column:

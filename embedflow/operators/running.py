@@ -16,12 +16,13 @@ def running_sum(df: DataFrame, value: Column, order: Sequence[str], bucket: Colu
     that a key that holds most of the rows is no hot spot.
     """
     rows = df.withColumn("_v", value).withColumn("_b", bucket)
-    sums = rows.groupBy(*by, "_b").agg(F.sum("_v").alias("_s"))
-    before = sums.withColumn("_base", F.sum("_s").over(Window.partitionBy(*by).orderBy("_b")) - F.col("_s")).drop("_s")
-    within = Window.partitionBy(*by, "_b").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    keys = [*by, "_b"]
+    sums = rows.groupBy(*keys).agg(F.sum("_v").alias("_s"))
+    base = (F.sum("_s").over(Window.partitionBy(*by).orderBy("_b")) - F.col("_s")).alias("_base")
+    before = sums.select(*[F.col(c).alias(f"_k{i}") for i, c in enumerate(keys)], base)
+    within = Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
     # by-columns may be null: compare null-safe
-    on = [rows[c].eqNullSafe(before[c]) for c in (*by, "_b")]
-    joined = rows.join(before, on, "left").select(*[rows[c] for c in rows.columns], before["_base"])
+    joined = rows.join(before, [F.col(c).eqNullSafe(F.col(f"_k{i}")) for i, c in enumerate(keys)], "left").drop(*[f"_k{i}" for i in range(len(keys))])
     return joined.withColumn(out, F.coalesce("_base", F.lit(0)) + F.coalesce(F.sum("_v").over(within), F.lit(0))).drop("_v", "_b", "_base")
 
 

@@ -85,12 +85,13 @@ def truncation_chunks(spark, d):
 
 def hashed_vector(text):
     """Mean of the words' hashed vectors (8 components from each md5), of unit length; null without a word."""
-    w = F.slice(T.words(text), 1, T.MAX_LENGTH - 2)
     part = lambda h, j: F.conv(F.substring(h, 4 * j + 1, 4), 16, 10).cast("double") / 32768 - 1
-    vector = lambda t: F.array(*[part(F.md5(t), j) for j in range(COMPONENTS)])
+    vector = lambda t: V.let(F.md5(t), lambda h: F.array(*[part(h, j) for j in range(COMPONENTS)]))
     zero = F.array(*[F.lit(0.0)] * COMPONENTS)
-    mean = F.aggregate(w, zero, lambda a, t: F.zip_with(a, vector(t), lambda x, y: x + y), lambda a: F.transform(a, lambda x: x / F.size(w)))
-    return F.when(F.size(w) > 0, F.transform(mean, lambda x: x / V.norm(mean)))
+    total = lambda w: F.aggregate(w, zero, lambda a, t: F.zip_with(a, vector(t), lambda x, y: x + y))
+    unit = lambda m: V.let(V.norm(m), lambda n: F.transform(m, lambda x: x / n))
+    mean = lambda w: V.let(F.size(w), lambda n: V.let(total(w), lambda s: F.transform(s, lambda x: x / n)))
+    return V.let(F.slice(T.words(text), 1, T.MAX_LENGTH - 2), lambda w: F.when(F.size(w) > 0, V.let(mean(w), unit)))
 
 
 HASHED_SQL = """SELECT {key}, list_transform(m, lambda x: x / sqrt(list_sum(list_transform(m, lambda y: y * y)))) AS v FROM (

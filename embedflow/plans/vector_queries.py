@@ -24,7 +24,7 @@ def rows(df, key, v):
 
 
 def unnested(sql_list, source="embeddings", key="vec_id"):
-    return f"SELECT {key}, CAST(unnest(range(len(v))) AS INT) AS pos, round(unnest(v), 6) AS value FROM (SELECT {key}, {sql_list} AS v FROM {source})"
+    return f"SELECT {key}, CAST(unnest(range(len(v))) AS INT) AS pos, round(unnest(v), 6) + 0.0::DOUBLE AS value FROM (SELECT {key}, {sql_list} AS v FROM {source})"
 
 
 E = "embedding::DOUBLE[]"
@@ -84,7 +84,7 @@ def gated_silu(spark, d):
     return rows(emb(spark, d), ["vec_id"], V.gated(F.col("embedding"), 32, "silu"))
 
 
-@query(f"SELECT vec_id, CAST(i AS INT) AS pos, round(0.5 * a * (1 + {ERF_SQL.format(x='a / sqrt(2)')}) * b, 6) AS value FROM (SELECT *, 1 / (1 + 0.3275911::DOUBLE * abs(a / sqrt(2))) AS t FROM (SELECT vec_id, i, embedding[i + 1]::DOUBLE AS a, embedding[i + 33]::DOUBLE AS b FROM embeddings, range(32) t(i)))")
+@query(f"SELECT vec_id, CAST(i AS INT) AS pos, round(0.5 * a * (1 + {ERF_SQL.format(x='a / sqrt(2)')}) * b, 6) + 0.0::DOUBLE AS value FROM (SELECT *, 1 / (1 + 0.3275911::DOUBLE * abs(a / sqrt(2))) AS t FROM (SELECT vec_id, i, embedding[i + 1]::DOUBLE AS a, embedding[i + 33]::DOUBLE AS b FROM embeddings, range(32) t(i)))")
 def gated_gelu(spark, d):
     return rows(emb(spark, d), ["vec_id"], V.gated(F.col("embedding"), 32, "gelu"))
 

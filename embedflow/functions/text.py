@@ -55,6 +55,16 @@ def mask(ids: Column, length: Column) -> Column:
     return F.concat(F.transform(ids, lambda _: F.lit(1)), F.array_repeat(F.lit(0), length - F.size(ids)))
 
 
+def additive_mask(mask: Column) -> Column:
+    """0 where the mask is 1, a large finite negative elsewhere: rows without any token stay finite."""
+    return F.transform(mask, lambda m: (1 - m) * F.lit(-10_000.0))
+
+
+def wrapped_id(token: Column, vocabulary: int) -> Column:
+    """Negative ids count from the vocabulary's end."""
+    return F.when(token >= 0, token).otherwise(token + vocabulary)
+
+
 def rows_per_forward(length: Column, budget: int = 2 * 512 * 512, most: int | None = None) -> Column:
     """How many rows of a length fit a forward pass: the budget over the squared length, one at least."""
     rows = F.greatest(F.lit(1), F.floor(F.lit(budget) / F.greatest(F.lit(1), length * length)).cast("int"))

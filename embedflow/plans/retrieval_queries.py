@@ -11,6 +11,7 @@ from embedflow.plans.protocol_queries import DELIVERED_SQL
 from embedflow.plans.registry import query, table
 from embedflow.plans.token_queries import HASHED_SQL, hashed_vector
 from embedflow.plans.vector_queries import INT8_SQL, emb
+from embedflow.runtime import spread
 
 CANDIDATES_SQL = """SELECT q_id, TRY_CAST(d AS BIGINT) AS doc_id, CAST(min(i) AS INT) AS place FROM (
 SELECT q_id, unnest(l) AS d, unnest(range(len(l))) AS i FROM (SELECT q_id, list_filter(list_concat([positive], coalesce(negatives, [])), lambda x: x IS NOT NULL) AS l FROM retrieval_queries)) GROUP BY q_id, d"""
@@ -44,7 +45,7 @@ r AS (SELECT *, CAST(row_number() OVER (PARTITION BY q_id ORDER BY score DESC, p
 def ranked_candidates(spark, d):
     c = R.candidates(rq(spark, d))
     q = rq(spark, d).where("query_text IS NOT NULL").select("q_id", hashed_vector(F.col("query_text")).alias("qv"))
-    docs = table(spark, d, "documents").join(R.wanted(rq(spark, d)), "doc_id", "left_semi").where("text IS NOT NULL").select("doc_id", hashed_vector(F.col("text")).alias("dv"))
+    docs = spread(table(spark, d, "documents").join(R.wanted(rq(spark, d)), "doc_id", "left_semi").where("text IS NOT NULL").select("doc_id", "text"), "doc_id").select("doc_id", hashed_vector(F.col("text")).alias("dv"))
     s = c.join(docs, "doc_id").join(q, "q_id").where("qv IS NOT NULL AND dv IS NOT NULL").withColumn("score", F.round(V.dot(F.col("qv"), F.col("dv")), 6))
     return R.ranked(s, "q_id", F.col("score"), ["place"])
 

@@ -8,6 +8,7 @@ from embedflow.functions import text as T
 from embedflow.functions import vectors as V
 from embedflow.operators import batching as B
 from embedflow.plans.registry import query, table
+from embedflow.runtime import spread
 
 TOKENS_SQL = r"regexp_extract_all(text, '[\p{L}\p{N}]+|[^\s\p{L}\p{N}]')"
 LENGTH_SQL = f"SELECT doc_id, CAST(len({TOKENS_SQL}) AS INT) AS n_all, CAST(least(512, len({TOKENS_SQL}) + 2) AS INT) AS n_tokens FROM documents WHERE text IS NOT NULL"
@@ -102,7 +103,11 @@ SELECT {key}, md5(w) AS h, count(*)::DOUBLE AS cnt FROM (SELECT {key}, unnest(li
 @query("SELECT doc_id, CAST(unnest(range(8)) AS INT) AS j, unnest(list_transform(v, lambda x: round(x, 6))) AS v FROM (" + HASHED_SQL.format(key="doc_id", text="text", table="documents") + ")")
 def embed_hashed(spark, d):
     """The flagship query: texts to words, hashed vectors, mean pooling and unit length, all inside the JVM."""
-    v = texts(spark, d).select("doc_id", hashed_vector(F.col("text")).alias("v")).where("v IS NOT NULL")
+    return hashed_components(spread(texts(spark, d), "doc_id"))
+
+
+def hashed_components(t):
+    v = t.select("doc_id", hashed_vector(F.col("text")).alias("v")).where("v IS NOT NULL")
     return v.select("doc_id", F.posexplode("v").alias("j", "x")).select("doc_id", "j", F.round("x", 6).alias("v"))
 
 
@@ -116,11 +121,20 @@ def embed_documents(spark, d):
     """The whole path with the synthetic encoder: token limit 512, batches by length, mean pooling, unit length."""
     from embedflow.embed import embed_records
 
-    return embed_records(texts(spark, d)).select("doc_id", "embedding", "n_tokens", "truncated")
+    return embed_records(spread(texts(spark, d), "doc_id")).select("doc_id", "embedding", "n_tokens", "truncated")
 
 
 @query()
 def embed_in_records(spark, d):
     from embedflow.embed import embed_records
 
-    return embed_records(table(spark, d, "in_records").where("kind = 'record'").select("line_no", "run_no", "batch_no", "id_json", "text")).drop("text")
+    return embed_records(spread(table(spark, d, "in_records").where("kind = 'record'").select("line_no", "run_no", "batch_no", "id_json", "text"), "line_no")).drop("text")
+
+
+@query("SELECT doc_id, seq, CAST(seq - n_tokens AS INT) AS blocked, CAST((seq - n_tokens) * -10000.0 AS DOUBLE) AS mask_sum FROM (SELECT doc_id, n_tokens, CASE WHEN n_tokens <= 64 THEN 64 WHEN n_tokens <= 128 THEN 128 WHEN n_tokens <= 256 THEN 256 ELSE 512 END AS seq FROM (" + LENGTH_SQL + "))")
+def additive_masks(spark, d):
+    """The padding mask as it is added to scores: 0 for tokens, a finite -10000 for padding."""
+    t = lengths(spark, d).withColumn("seq", T.shape_for(F.col("n_tokens")))
+    m = T.additive_mask(F.concat(F.array_repeat(F.lit(1), F.col("n_tokens")), F.array_repeat(F.lit(0), F.col("seq") - F.col("n_tokens"))))
+    t = t.select("doc_id", "seq", m.alias("m"))
+    return t.select("doc_id", "seq", F.size(F.filter("m", lambda x: x < 0)).alias("blocked"), F.aggregate("m", F.lit(0.0), lambda a, x: a + x).alias("mask_sum"))

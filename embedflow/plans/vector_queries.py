@@ -6,6 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from embedflow.functions import vectors as V
+from embedflow.functions.text import wrapped_id
 from embedflow.plans.protocol_queries import DELIVERED_SQL, DIM, USABLE_SQL, delivered
 from embedflow.plans.registry import query, table
 
@@ -128,6 +129,26 @@ def window_attention(spark, d):
     return rows(each.select(F.col("q").alias("vec_id"), out.alias("o")), ["vec_id"], F.col("o"))
 
 
+@query("""WITH e AS (SELECT vec_id // 25 AS s, vec_id AS p, embedding::DOUBLE[] AS v FROM embeddings), w AS (SELECT q.s, q.p AS q, k.p AS k, list_inner_product(q.v, k.v) / 8 AS x FROM e q JOIN e k ON q.s = k.s),
+m AS (SELECT s, q, k, exp(greatest(x - max(x) OVER (PARTITION BY s, q), -87)) AS a FROM w) SELECT s, q, k, round(a / sum(a) OVER (PARTITION BY s, q), 6) AS a FROM m""")
+def global_softmax(spark, d):
+    """Attention weights without a window, inside sequences of 25 vectors."""
+    e = emb(spark, d).select(F.floor(F.col("vec_id") / 25).alias("s"), F.col("vec_id").alias("q"), F.col("embedding").alias("v"))
+    k = e.select("s", F.col("q").alias("k"), F.col("v").alias("kv"))
+    x = e.join(k, "s").select("s", "q", "k", (V.dot(F.col("v"), F.col("kv")) / 8).alias("x"))
+    w = Window.partitionBy("s", "q")
+    a = x.withColumn("a", F.exp(F.greatest(F.col("x") - F.max("x").over(w), F.lit(-87.0))))
+    return a.select("s", "q", "k", F.round(F.col("a") / F.sum("a").over(w), 6).alias("a"))
+
+
+@query("SELECT vec_id, CAST(CASE WHEN label - 5 >= 0 THEN label - 5 ELSE label - 5 + 10 END AS INT) AS id, round(w, 6) AS weight FROM (SELECT vec_id, label, (CASE WHEN label - 5 >= 0 THEN label - 5 ELSE label + 5 END) * 0.5::DOUBLE AS w FROM embeddings)")
+def gathered_rows(spark, d):
+    """A lookup by id, negative ids counting from the end, as a join with the (small, fixed) table."""
+    weights = spark.range(10).select(F.col("id").cast("int").alias("id"), (F.col("id") * 0.5).alias("w"))
+    e = emb(spark, d).select("vec_id", wrapped_id(F.col("label") - 5, 10).cast("int").alias("id"))
+    return e.join(F.broadcast(weights), "id").select("vec_id", "id", F.round("w", 6).alias("weight"))
+
+
 @query("SELECT CAST(i AS INT) AS layer, CASE WHEN i % 3 = 0 THEN 'global' ELSE 'local' END AS kind FROM range(19) t(i)")
 def layer_kinds(spark, d):
     return spark.range(19).select(F.col("id").cast("int").alias("layer"), F.when(F.col("id") % 3 == 0, "global").otherwise("local").alias("kind"))

@@ -54,6 +54,16 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
+def spread(df: DataFrame, key: str, tasks_per_core: int = 2) -> DataFrame:
+    """df in enough partitions to keep all cores busy with costly work on each row; large inputs have them already.
+
+    A few small files are read by a few tasks, however much each row costs afterwards. One shuffle of the rows by
+    key; key should hold few repeated values.
+    """
+    wanted = df.sparkSession.sparkContext.defaultParallelism * tasks_per_core
+    return df.repartition(wanted, key) if df.rdd.getNumPartitions() < wanted else df
+
+
 def materialize(df: DataFrame, name: str = "t") -> DataFrame:
     """Write df once as Parquet into the shared folder and read it back.
 

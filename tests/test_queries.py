@@ -47,7 +47,9 @@ def test_entry(spark):
 
 
 def test_flagship_stays_in_the_jvm(spark):
-    plan = catalog.QUERIES["embed_hashed"](spark, str(DATA))._jdf.queryExecution().executedPlan().toString()
+    from embedflow.plans.token_queries import hashed_components, texts
+
+    plan = hashed_components(texts(spark, str(DATA)))._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "Exchange" not in plan and "ReadSchema: struct<doc_id:bigint,text:string>" in plan
 
 

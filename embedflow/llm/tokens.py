@@ -11,6 +11,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from embedflow.runtime import spread
+
 TOKENIZER = "/opt/tokenizers/byte_bpe_multi_50k.tiktoken"
 # Fixed value: how the byte-level vocabulary splits a text before its merges
 PATTERN = r"'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -36,4 +38,4 @@ def token_sizes(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", t
 
     inner = df.select(F.col(f"`{id_col}`").cast("long").alias("id"), *(c.alias(n) for n, c in more.items()), F.col(f"`{text_col}`").alias("t"))
     schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in inner.schema if f.name != "t") + ", n_tokens long"
-    return inner.mapInArrow(count, schema)
+    return spread(inner, "id").mapInArrow(count, schema)

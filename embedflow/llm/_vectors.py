@@ -78,7 +78,7 @@ class Forest:
 
     @staticmethod
     def fit(sample: np.ndarray, rows: int, dim: int, trees: int, probes: int, leaf_rows: int, seed: int) -> "Forest":
-        depth = max(0, int(np.ceil(np.log2(max(rows, 1) / leaf_rows))))
+        depth = max(0, round(np.log2(max(rows, 1) / leaf_rows)))
         rng = np.random.default_rng(seed)
         directions, cuts = [], []
         for _ in range(trees):

@@ -134,11 +134,14 @@ class Forest:
 
 
 def fit_forest(vectors: DataFrame, dim: int, trees: int, probes: int, leaf_rows: int, sample_rows: int, seed: int) -> Forest:
-    """vectors: (id, v). Cuts are fitted on a Bernoulli sample of about sample_rows rows; every row is indexed."""
+    """vectors: (id, v). Cuts are fitted on a Bernoulli sample of about sample_rows rows; every row is indexed.
+
+    leaf_rows holds for up to 262,144 rows; see leaf_size for more.
+    """
     rows = vectors.count()
     picked = vectors.select("v").sample(fraction=min(1.0, sample_rows / max(rows, 1)), seed=seed).toArrow()
     _, x = unit_rows(picked["v"].combine_chunks(), dim)
-    return Forest.fit(x, rows, dim, trees, probes, leaf_rows, seed)
+    return Forest.fit(x, rows, dim, trees, probes, leaf_size(rows, leaf_rows), seed)
 
 
 def routed(vectors: DataFrame, forest: Forest, dim: int, bits: int) -> DataFrame:

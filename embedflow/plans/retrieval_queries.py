@@ -120,7 +120,7 @@ def delivery_report(spark, d):
     o = table(spark, d, "out_records")
     counts = o.groupBy("out_id").agg(F.count("*").alias("n")).agg(F.sum("n").alias("deliveries"), F.count("*").alias("records")).withColumn("repeated", F.col("deliveries") - F.col("records"))
     left = table(spark, d, "in_records").where("kind = 'record'").join(o.select("line_no"), "line_no", "left_anti").agg(F.count("*").alias("without_output"))
-    return counts.join(F.broadcast(left))  # one row
+    return counts.withColumn("without_output", left.scalar())
 
 
 SPREAD_SQL = """WITH e AS (SELECT event_type, value, row_number() OVER (PARTITION BY event_type ORDER BY value) AS r, count(*) OVER (PARTITION BY event_type) AS n FROM events WHERE value IS NOT NULL)

@@ -184,7 +184,7 @@ def int8_rows(spark, d):
 def int8_tensor(spark, d):
     """One scale for the whole table: an aggregate of one row."""
     scale = emb(spark, d).agg(F.max(V.largest(F.col("embedding"))).alias("m")).select((F.when(F.col("m") == 0, 127.0).otherwise(F.col("m")) / 127.0).alias("s"))
-    e = emb(spark, d).join(F.broadcast(scale))  # one row
+    e = emb(spark, d).withColumn("s", scale.scalar())
     return e.select("vec_id", F.posexplode(V.int8_codes(F.col("embedding"), F.col("s"))).alias("pos", "code"))
 
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import io
 import os
 import tempfile
 import uuid
@@ -11,6 +13,7 @@ from pathlib import Path
 from pyspark.sql import DataFrame, SparkSession
 
 _shipped: set[tuple[str, str]] = set()
+_own: set[str] = set()
 
 DEFAULTS = {
     "spark.sql.session.timeZone": "UTC",
@@ -37,11 +40,16 @@ def ship(spark: SparkSession) -> SparkSession:
     key = (spark.sparkContext.applicationId, str(root))
     if root not in known and not local and key not in _shipped:
         _shipped.add(key)
-        packed = Path(tempfile.mkdtemp(prefix="embedflow-")) / "embedflow.zip"  # on the driver, which serves it
+        packed = io.BytesIO()
         with zipfile.ZipFile(packed, "w") as z:
             for f in sorted((root / "embedflow").rglob("*.py")):
                 z.write(f, f.relative_to(root))
-        spark.sparkContext.addPyFile(str(packed))
+        target = f"{_own_dir(spark)}/embedflow.zip"
+        path, fs = _file_system(spark, target)
+        out = fs.create(path, True)
+        out.write(bytearray(packed.getvalue()))
+        out.close()
+        spark.sparkContext.addPyFile(target)
     return spark
 
 
@@ -64,6 +72,29 @@ def spread(df: DataFrame, key: str, tasks_per_core: int = 2) -> DataFrame:
     return df.repartition(wanted, key) if df.rdd.getNumPartitions() < wanted else df
 
 
+def _own_dir(spark: SparkSession) -> str:
+    """This application's folder in the shared folder; removed when the process ends, or by clean()."""
+    path = f"{shared_dir(spark)}/embedflow-{spark.sparkContext.applicationId}"
+    if path not in _own:
+        _own.add(path)
+        atexit.register(clean, spark)
+    return path
+
+
+def _file_system(spark: SparkSession, path: str):
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return p, p.getFileSystem(spark._jsc.hadoopConfiguration())
+
+
+def clean(spark: SparkSession) -> None:
+    """Remove the intermediate tables of this application. Frames that still read them can't be used afterwards."""
+    path = f"{shared_dir(spark)}/embedflow-{spark.sparkContext.applicationId}" if spark.sparkContext._jsc else None
+    if path in _own:
+        at, fs = _file_system(spark, path)
+        fs.delete(at, True)
+        _own.discard(path)
+
+
 def materialize(df: DataFrame, name: str = "t") -> DataFrame:
     """Write df once as Parquet into the shared folder and read it back.
 
@@ -71,6 +102,6 @@ def materialize(df: DataFrame, name: str = "t") -> DataFrame:
     table instead of being computed again. Keeps the schema, also of an empty frame.
     """
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/embedflow/{name}-{uuid.uuid4().hex}"
+    path = f"{_own_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)

@@ -48,6 +48,6 @@ def run_requests(lines: DataFrame, out: str, checkpoint: str, spec: EncoderSpec
 def summary(lines: DataFrame, records: DataFrame, spec: EncoderSpec) -> DataFrame:
     """One row: model, dim, in, out, skipped, truncated; also for no lines at all."""
     i = lines.agg(F.count_if(F.col("kind") != "flush").alias("n_in"), F.count_if(F.col("kind") == "skip").alias("skipped"))
-    o = records.agg(F.count("*").alias("n_out"), F.count_if("truncated").alias("truncated"))
-    dim = F.when(F.col("n_out") > 0, spec.config.hidden).otherwise(0)
-    return i.join(F.broadcast(o)).select(F.lit(spec.label).alias("model"), dim.alias("dim"), "n_in", "n_out", "skipped", "truncated")  # one row each
+    o = records.agg(F.struct(F.count("*").alias("n_out"), F.count_if("truncated").alias("truncated"))).scalar()
+    dim = F.when(F.col("o.n_out") > 0, spec.config.hidden).otherwise(0)
+    return i.withColumn("o", o).select(F.lit(spec.label).alias("model"), dim.alias("dim"), "n_in", F.col("o.n_out").alias("n_out"), "skipped", F.col("o.truncated").alias("truncated"))

@@ -28,13 +28,14 @@ def parser() -> argparse.ArgumentParser:
     p.add_argument("--max-seq-length", type=int, default=512)
     p.add_argument("--batch-size", type=int, default=64)
     p.add_argument("--shapes", default=",".join(map(str, SHAPES)))
+    p.add_argument("--pad-to-shapes", action="store_true")
     p.add_argument("--quantize", choices=list(QUANTIZE), default="none")
     return p
 
 
 def spec_of(a: argparse.Namespace) -> EncoderSpec:
     shapes = tuple(int(s) for s in a.shapes.split(",") if s.strip())
-    o = Options(a.prefix, a.pooling, not a.no_normalize, a.max_seq_length, a.batch_size, a.precision, a.device, a.format, a.report_tokens, shapes, a.quantize)
+    o = Options(a.prefix, a.pooling, not a.no_normalize, a.max_seq_length, a.batch_size, a.precision, a.device, a.format, a.report_tokens, shapes, a.pad_to_shapes, a.quantize)
     if a.model_path:
         return EncoderSpec.from_files(a.model_path, a.tokenizer_path, o, a.model_id)
     return EncoderSpec(options=o, pooling=o.pooling or "mean", label=a.model_id or "synthetic")

@@ -64,10 +64,10 @@ class Tokenizer:
 def _worker(spec: EncoderSpec):
     """Weights and tokenizer, loaded once in a worker process on its first batch that isn't empty."""
     from embedflow.encoder import Encoder
-    from embedflow.spec import named_weights, read_safetensors, synthetic_weights
+    from embedflow.spec import named_weights, quantized_weights, read_safetensors, synthetic_weights
 
     weights = named_weights(read_safetensors(spec.model_path), spec.config) if spec.model_path else synthetic_weights(spec.config)
-    return Tokenizer(spec), Encoder(spec.config, weights, spec.options.precision)
+    return Tokenizer(spec), Encoder(spec.config, quantized_weights(weights, spec.options.quantize), spec.options.precision)
 
 
 def embed_batch(texts: list[str], spec: EncoderSpec) -> tuple[np.ndarray, list[int], list[bool]]:
@@ -82,6 +82,8 @@ def embed_batch(texts: list[str], spec: EncoderSpec) -> tuple[np.ndarray, list[i
     for start in range(0, len(order), o.batch_size):
         batch = order[start : start + o.batch_size]
         length = max(len(coded[i][0]) for i in batch)
+        if o.pad_to_shapes:
+            length = next(s for s in o.shapes if s >= length)
         ids = np.zeros((len(batch), length), np.int64)
         mask = np.zeros((len(batch), length), np.int64)
         for r, i in enumerate(batch):
@@ -116,7 +118,17 @@ def embed_records(records: DataFrame, spec: EncoderSpec = EncoderSpec(), text_co
     """Adds embedding, n_tokens, truncated and model_tag; columns of those names are replaced."""
     made = [*EMBEDDED.names, "model_tag"]
     kept = [F.col(f"`{c}`") for c in records.columns if c not in made]
-    return records.select(*kept, embed(F.col(f"`{text_col}`"), spec).alias("_e")).select(*kept, "_e.*", F.lit(spec.tag).alias("model_tag"))
+    vector = F.col("_e.embedding").alias("embedding", metadata={"model_tag": spec.tag, "dim": spec.config.hidden})
+    return records.select(*kept, embed(F.col(f"`{text_col}`"), spec).alias("_e")).select(*kept, vector, "_e.n_tokens", "_e.truncated", F.lit(spec.tag).alias("model_tag"))
+
+
+def pending(records: DataFrame, done: DataFrame, spec: EncoderSpec, text_col: str = "text") -> DataFrame:
+    """The records whose text has no vector of this model yet. done: (text_key, model_tag), text_key as sha2(text, 256).
+
+    For incremental runs: embed what is pending, append it to the table of done texts.
+    """
+    have = done.where(F.col("model_tag") == spec.tag).select("text_key").distinct()
+    return records.withColumn("text_key", F.sha2(F.col(f"`{text_col}`"), 256)).join(have, "text_key", "left_anti")
 
 
 def same_model(a: DataFrame, b: DataFrame) -> None:

@@ -31,6 +31,7 @@ class Options:
     format: str = "jsonl"
     report_tokens: bool = False
     shapes: tuple[int, ...] = SHAPES
+    pad_to_shapes: bool = False
     quantize: str = "none"
 
     def __post_init__(self):
@@ -50,6 +51,8 @@ class Options:
             raise ValueError("shapes must be positive lengths")
         object.__setattr__(self, "shapes", tuple(sorted(set(self.shapes))))
         object.__setattr__(self, "batch_size", max(1, self.batch_size))
+        if self.pad_to_shapes and self.max_seq_length > self.shapes[-1]:
+            raise UnsupportedRequest(f"max_seq_length {self.max_seq_length} exceeds the largest shape {self.shapes[-1]}")
         if self.max_seq_length < 2:
             raise ValueError("max_seq_length must leave room for two special tokens")
 
@@ -207,6 +210,26 @@ def named_weights(tensors: dict[str, np.ndarray], c: EncoderConfig) -> dict[str,
     return out
 
 
+def int8_rows(w: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(codes, scales): a symmetric scale for each row, 1 for a zero row; halves are rounded away from zero."""
+    scale = np.abs(w).max(axis=1, keepdims=True).astype(np.float32) / np.float32(127)
+    scale[scale == 0] = 1
+    x = w / scale
+    return np.clip(np.copysign(np.floor(np.abs(x) + 0.5), x), -127, 127).astype(np.int8), scale
+
+
+def quantized_weights(weights: dict[str, np.ndarray], level: str) -> dict[str, np.ndarray]:
+    """Weights as they come back from 8 bits: of the embedding table, or of all matrices."""
+    if level == "none":
+        return weights
+
+    def back(w: np.ndarray) -> np.ndarray:
+        codes, scale = int8_rows(w)
+        return codes * scale
+
+    return {k: back(w) if w.ndim == 2 and (level == "all" or "tok_embeddings" in k) else w for k, w in weights.items()}
+
+
 TINY = EncoderConfig(vocab=32, hidden=16, layers=3, heads=2, intermediate=8, max_positions=64, local_attention=4)
 SMALL = EncoderConfig(vocab=4096, hidden=64, layers=3, heads=4, intermediate=96)
 

@@ -208,3 +208,31 @@ def test_filters_go_below_embed(spark, tmp_path):
     plan = E.embed_records(spark.read.parquet(str(tmp_path / "t"))).where("id = 3")._jdf.queryExecution().executedPlan().toString()
     assert "PushedFilters: [IsNotNull(id), EqualTo(id,3)]" in plan
     assert "ArrowEvalPython" not in E.embed_records(spark.read.parquet(str(tmp_path / "t"))).select("id")._jdf.queryExecution().executedPlan().toString()
+
+
+def test_quantized_weights():
+    w = np.array([[0.0, 0.0], [1.27, -0.005], [-2.54, 0.01]], np.float32)
+    codes, scale = S.int8_rows(w)
+    assert codes.tolist() == [[0, 0], [127, -1], [-127, 1]] and np.allclose(scale.ravel(), [1, 0.01, 0.02])
+    weights = S.synthetic_weights(S.TINY)
+    assert S.quantized_weights(weights, "none") is weights
+    some, every = S.quantized_weights(weights, "embeddings"), S.quantized_weights(weights, "all")
+    changed = lambda q: {k for k in q if not np.array_equal(q[k], weights[k])}
+    assert changed(some) == {"embeddings.tok_embeddings.weight"} and changed(every) == {k for k in weights if weights[k].ndim == 2}
+
+
+def test_options_of_embed(spark):
+    texts = ["one two three", "a " * 100, ""]
+    base, _, _ = E.embed_batch(texts, E.EncoderSpec())
+    padded, _, _ = E.embed_batch(texts, E.EncoderSpec().with_options(pad_to_shapes=True))
+    low, _, _ = E.embed_batch(texts, E.EncoderSpec().with_options(quantize="all"))
+    assert np.abs(base - padded).max() < 1e-5
+    assert 1e-7 < np.abs(base - low).max() < 0.1
+    with pytest.raises(S.UnsupportedRequest):
+        S.Options(pad_to_shapes=True, max_seq_length=1024)
+    df = spark.createDataFrame([(1, "x"), (2, "y"), (3, None)], "id int, text string")
+    out = E.embed_records(df)
+    assert out.schema["embedding"].metadata["model_tag"] == E.EncoderSpec().tag
+    done = out.where("id = 1").select(F.sha2("text", 256).alias("text_key"), "model_tag")
+    assert {r.id for r in E.pending(df, done, E.EncoderSpec()).collect()} == {2, 3}
+    assert E.pending(df, done, E.EncoderSpec().with_options(pooling="cls")).count() == 3

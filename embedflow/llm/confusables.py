@@ -59,7 +59,16 @@ def prototypes() -> dict[int, str | None]:
 
 _table = prototypes()
 _pictures = r"[\p{Extended_Pictographic}\p{Emoji_Modifier}\p{Regional_Indicator}]"
-_idle = regex.compile(rf"(?<!{_pictures}\N{{VARIATION SELECTOR-16}}?)‍|‍(?!{_pictures})|(?<![\p{{Extended_Pictographic}}#*0-9])️|(?<!\p{{Extended_Pictographic}})︎|(?<=[#*0-9])️(?!⃣)")
+JOINER, TEXT_STYLE, EMOJI_STYLE, KEYCAP = "\u200d", "\ufe0e", "\ufe0f", "\u20e3"
+_idle = regex.compile(
+    "|".join(
+        [
+            rf"(?<!{_pictures}{EMOJI_STYLE}?){JOINER}", rf"{JOINER}(?!{_pictures})",
+            rf"(?<![\p{{Extended_Pictographic}}#*0-9]){EMOJI_STYLE}", rf"(?<=[#*0-9]){EMOJI_STYLE}(?!{KEYCAP})",
+            rf"(?<!\p{{Extended_Pictographic}}){TEXT_STYLE}",
+        ]
+    )
+)
 
 
 def skeleton(text: str) -> str:
@@ -67,7 +76,7 @@ def skeleton(text: str) -> str:
     if text.isascii():
         return text
     text = unicodedata.normalize("NFD", text).translate(_table)
-    if "‍" in text or "︎" in text or "️" in text:
+    if JOINER in text or TEXT_STYLE in text or EMOJI_STYLE in text:
         text = _idle.sub("", text)
     return unicodedata.normalize("NFD", text)
 

@@ -7,7 +7,7 @@ from embedflow.llm import copies as C
 from embedflow.operators.protocol import parse_line
 
 LINES = [
-    '{"id": 1, "text": "Hello, world"}', '{"text":"HELLO world!","id":1}', '{"id": "1", "text": "hello world"}', '{"id": {"a": 1, "b": 2}, "text": "x y"}', '{"id": {"b": 2, "a": 1}, "text": "X　Y。", "more": [1]}',
+    '{"id": 1, "text": "Hello, world"}', '{"text":"HELLO world!","id":1}', '{"id": "1", "text": "hello world"}', '{"id": {"a": 1, "b": 2}, "text": "x y"}', '{"id": {"b": 2, "a": 1}, "text": "X\u3000Y。", "more": [1]}',
     "broken", "", None, '{"id": null, "text": "t"}', '{"id": null, "text": "T\\n"}', '{"id": 1.0, "text": "hello world"}', '{"id": 2, "text": "Straße"}', '{"id": 2, "text": "STRASSE"}', '{"id": 3, "text": "..."}', '{"id": 3, "text": "  "}',
     '{"id": 1, "text": "Hello, world"}', '{"id": true, "text": "hello world"}', '{"id": 4, "text": "a+b"}', '{"id": 4, "text": "ab"}', '{"id": 5, "text": ""}', '{"text": "no id"}', '{"id": 6, "text": "' + "long " * 20_000 + '"}', '{"id": 6, "text": "' + "LONG " * 20_000 + '"}',
 ]

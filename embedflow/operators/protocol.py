@@ -15,7 +15,7 @@ from pyspark.sql import types as T
 from embedflow.operators.running import position, running_sum
 
 # Unicode White_Space
-WHITE_SPACE = "\t\n\x0b\x0c\r \x85\xa0                　"
+WHITE_SPACE = "\t\n\x0b\x0c\r \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
 # Reasons for which a line is skipped
 INVALID, NOT_OBJECT, NO_ID, NO_TEXT, EMPTY_TEXT = "invalid JSON", "not a JSON object", 'missing "id"', 'missing or non-string "text"', 'empty "text"'
 

@@ -4,9 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from embedflow.operators.protocol import is_blank
+
 
 def read_lines(spark: SparkSession, path: str) -> DataFrame:
     """(file, line_no, line): lines end at \\n alone, a \\r before it is dropped, a final \\n is no blank line.
@@ -14,19 +16,20 @@ def read_lines(spark: SparkSession, path: str) -> DataFrame:
     A file is one stream and is numbered from 1. Files are read whole, as a line's number needs all lines before it;
     many files are read in parallel. Bytes that aren't UTF-8 are an error.
     """
-    whole = spark.read.format("binaryFile").load(path).select(F.col("path").alias("file"), F.expr("validate_utf8(cast(content AS STRING))").alias("t"))
-    parts = F.split("t", "\n")
+    return lines_of(spark.read.format("binaryFile").load(path))
+
+
+def lines_of(files: DataFrame) -> DataFrame:
+    """(file, line_no, line) of whole files (path, content)."""
+    parts = F.split(F.expr("validate_utf8(cast(content AS STRING))"), "\n")
     # the part after the last \n is a line only if it isn't empty
     kept = F.when(F.element_at(parts, -1) == "", F.slice(parts, 1, F.size(parts) - 1)).otherwise(parts)
-    return whole.select("file", F.posexplode(kept).alias("p", "line")).select("file", (F.col("p") + 1).alias("line_no"), F.regexp_replace("line", "\r$", "").alias("line"))
+    lines = files.select(F.col("path").alias("file"), F.posexplode(kept).alias("p", "line"))
+    return lines.select("file", (F.col("p") + 1).alias("line_no"), F.regexp_replace("line", "\r$", "").alias("line"))
 
 
 def read_texts(spark: SparkSession, path: str) -> DataFrame:
     """(id, text): the non-blank lines of a file, numbered from 0."""
-    from pyspark.sql import Window
-
-    from embedflow.operators.protocol import is_blank
-
     lines = read_lines(spark, path).where(~is_blank(F.col("line")))
     return lines.select((F.row_number().over(Window.partitionBy("file").orderBy("line_no")) - 1).alias("id"), F.col("line").alias("text"))
 

@@ -10,6 +10,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 from embedflow.embed import embed_records
 from embedflow.operators import protocol as P
+from embedflow.sources.lines import lines_of
 from embedflow.spec import EncoderSpec
 
 
@@ -23,10 +24,7 @@ def read_requests(spark: SparkSession, folder: str, files_per_trigger: int = 16)
     """(file, line_no, line), as a stream over the files of a folder."""
     schema = "path string, modificationTime timestamp, length long, content binary"
     raw = spark.readStream.format("binaryFile").schema(schema).option("maxFilesPerTrigger", files_per_trigger).load(folder)
-    parts = F.split(F.expr("validate_utf8(cast(content AS STRING))"), "\n")
-    kept = F.when(F.element_at(parts, -1) == "", F.slice(parts, 1, F.size(parts) - 1)).otherwise(parts)
-    lines = raw.select(F.col("path").alias("file"), F.posexplode(kept).alias("p", "line"))
-    return lines.select("file", (F.col("p") + 1).alias("line_no"), F.regexp_replace("line", "\r$", "").alias("line"))
+    return lines_of(raw)
 
 
 def run_requests(lines: DataFrame, out: str, checkpoint: str, spec: EncoderSpec = EncoderSpec(), then: Callable[[DataFrame, int], None] | None = None) -> StreamingQuery:

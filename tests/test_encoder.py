@@ -184,7 +184,7 @@ def test_checkpoint(tmp_path, prefix, dtype):
 
 
 def test_embed(spark):
-    texts = ["hello world", None, "", "b " * 600, "hello world", "　"]
+    texts = ["hello world", None, "", "b " * 600, "hello world", "\u3000"]
     df = spark.createDataFrame([(i, t, "x") for i, t in enumerate(texts)], "id int, text string, n_tokens string")
     out = {r.id: r for r in E.embed_records(df).collect()}
     assert out[1].embedding is None and out[1].n_tokens is None

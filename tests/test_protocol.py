@@ -12,7 +12,7 @@ CASES = [
     ('{"id": "b-9", "text": "改行\\nあり"}', "record", None, '"b-9"', "改行\nあり"),
     ("", "flush", None, None, None),
     ("   ", "flush", None, None, None),
-    ("　", "flush", None, None, None),
+    ("\u3000", "flush", None, None, None),
     (None, "flush", None, None, None),
     ("not json", "skip", "invalid JSON", None, None),
     ("[1,2]", "skip", "not a JSON object", None, None),

@@ -73,7 +73,7 @@ def test_python_tokens_match_sql(spark):
     from embedflow.embed import Tokenizer
     from embedflow.spec import EncoderSpec
 
-    texts = ["Größe 12.5 kg、重さ。", "a b\tc", "été’s {x}", "", "か゛" * 300]
+    texts = ["Größe 12.5 kg、重さ。", "a\u00a0b\tc", "été’s {x}", "", "か゛" * 300]
     spec = EncoderSpec()
     sql = column(spark, lambda c: T.encoded_ids(c, 512, spec.config.vocab), texts)
     assert [ids for ids, _ in Tokenizer(spec)(texts)] == [list(x) for x in sql]

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import lru_cache
+
 import numpy as np
 
 from embedflow.spec import EncoderConfig
@@ -28,19 +30,17 @@ def erf(x: np.ndarray) -> np.ndarray:
     t = 1 / (1 + ERF_P * np.abs(x))
     poly = np.zeros_like(x)
     for a in reversed(ERF_A):
-        poly = poly * t + np.float32(a)
-    return np.sign(x) * (1 - poly * t * np.exp(-x * x))
+        poly *= t
+        poly += np.float32(a)
+    poly *= t
+    poly *= np.exp(-x * x)
+    return np.copysign(1 - poly, x)
 
 
 def activate(x: np.ndarray, name: str) -> np.ndarray:
     return x * 0.5 * (1 + erf(x * np.float32(0.7071067811865476))) if name == "gelu" else x / (1 + np.exp(-x))
 
 
-def softmax(x: np.ndarray) -> np.ndarray:
-    x = np.exp(np.maximum(x - x.max(axis=-1, keepdims=True), EXP_FLOOR))
-    return x / x.sum(axis=-1, keepdims=True)
-
-
 def rotary_tables(length: int, dim: int, theta: float) -> tuple[np.ndarray, np.ndarray]:
     angle = np.arange(length)[:, None] * theta ** (-2.0 * np.arange(dim // 2) / dim)[None, :]
     both = np.concatenate([angle, angle], axis=1)
@@ -52,29 +52,42 @@ def rotate(x: np.ndarray, tables: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
     return x * tables[0] + np.concatenate([-x[..., half:], x[..., :half]], axis=-1) * tables[1]
 
 
-def dense_attention(q, k, v, mask: np.ndarray, window: int | None) -> np.ndarray:
-    """q, k, v: (rows, heads, length, width); mask: (rows, length) with 1 for tokens."""
-    scores = q @ k.swapaxes(-1, -2) * np.float32(q.shape[-1] ** -0.5)
-    scores += ((1 - mask) * BLOCKED)[:, None, None, :]
-    if window is not None:
-        at = np.arange(q.shape[2])
-        scores += np.where(np.abs(at[:, None] - at[None, :]) > window, 2 * BLOCKED, np.float32(0))
-    return softmax(scores) @ v
+@lru_cache(maxsize=256)
+def band(queries: int, keys: int, offset: int, window: int) -> np.ndarray:
+    """Blocks the keys further than window from each query; the first query stands at key `offset`."""
+    apart = np.abs(np.arange(queries)[:, None] + offset - np.arange(keys)[None, :])
+    return np.where(apart > window, 2 * BLOCKED, np.float32(0))
 
 
-def banded_attention(q, k, v, mask: np.ndarray, window: int, block: int = 32) -> np.ndarray:
-    """As dense_attention, but each block of queries meets only the keys within its reach."""
+def _attention(q, k, v, mask: np.ndarray, window: int | None, block: int, reach: int) -> np.ndarray:
+    """Blocks of queries against the keys at most reach away, in place and small enough for the cache."""
     out, length = np.empty_like(q), q.shape[2]
-    at = np.arange(length)
+    q, k = q * np.float32(q.shape[-1] ** -0.5), k.swapaxes(-1, -2)
+    padding = None if mask.all() else ((1 - mask) * BLOCKED).astype(np.float32)
     for start in range(0, length, block):
-        stop, first, last = min(start + block, length), max(0, start - window), min(length, start + block + window)
-        scores = q[:, :, start:stop] @ k[:, :, first:last].swapaxes(-1, -2) * np.float32(q.shape[-1] ** -0.5)
-        scores += ((1 - mask[:, first:last]) * BLOCKED)[:, None, None, :]
-        scores += np.where(np.abs(at[start:stop, None] - at[None, first:last]) > window, 2 * BLOCKED, np.float32(0))
-        out[:, :, start:stop] = softmax(scores) @ v[:, :, first:last]
+        stop, first, last = min(start + block, length), max(0, start - reach), min(length, start + block + reach)
+        s = q[:, :, start:stop] @ k[..., first:last]
+        if padding is not None:
+            s += padding[:, None, None, first:last]
+        if window is not None:
+            s += band(stop - start, last - first, start - first, window)
+        s -= s.max(axis=-1, keepdims=True)
+        np.exp(np.maximum(s, EXP_FLOOR, out=s), out=s)
+        out[:, :, start:stop] = s @ v[:, :, first:last]
+        out[:, :, start:stop] /= s.sum(axis=-1, keepdims=True)
     return out
 
 
+def dense_attention(q, k, v, mask: np.ndarray, window: int | None, block: int = 128) -> np.ndarray:
+    """q, k, v: (rows, heads, length, width); mask: (rows, length) with 1 for tokens. Every query meets every key."""
+    return _attention(q, k, v, mask, window, block, q.shape[2])
+
+
+def banded_attention(q, k, v, mask: np.ndarray, window: int, block: int = 64) -> np.ndarray:
+    """As dense_attention, but each block of queries meets only the keys within its reach."""
+    return _attention(q, k, v, mask, window, block, window)
+
+
 class Encoder:
     def __init__(self, config: EncoderConfig, weights: dict[str, np.ndarray], precision: str = "f32"):
         self.c, self.bf16, self._tables = config.checked(), precision == "bf16", {}

@@ -86,8 +86,12 @@ def truncation_chunks(spark, d):
 
 def hashed_vector(text):
     """Mean of the words' hashed vectors (8 components from each md5), of unit length; null without a word."""
-    part = lambda h, j: F.conv(F.substring(h, 4 * j + 1, 4), 16, 10).cast("double") / 32768 - 1
-    vector = lambda t: V.let(F.md5(t), lambda h: F.array(*[part(h, j) for j in range(COMPONENTS)]))
+    # two components from each eight hex digits: conv is what costs
+    eight = lambda h, i: F.conv(F.substring(h, 8 * i + 1, 8), 16, 10).cast("long")
+    unit_range = lambda x: x.cast("double") / 32768 - 1
+    pair = lambda x: F.array(unit_range(F.shiftright(x, 16)), unit_range(x.bitwiseAND(F.lit(65535))))
+    numbers = lambda h: F.array(*[eight(h, i) for i in range(COMPONENTS // 2)])
+    vector = lambda t: F.flatten(F.transform(V.let(F.md5(t), numbers), pair))
     zero = F.array(*[F.lit(0.0)] * COMPONENTS)
     total = lambda w: F.aggregate(w, zero, lambda a, t: F.zip_with(a, vector(t), lambda x, y: x + y))
     unit = lambda m: V.let(V.norm(m), lambda n: F.transform(m, lambda x: x / n))

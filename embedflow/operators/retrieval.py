@@ -36,11 +36,12 @@ def single_relevant(ranks: DataFrame, rank_col: str = "rank", depth: int = DEPTH
 
 def ndcg(scored: DataFrame, query_col: str, score: Column, label: Column, tie: list[Column | str], depth: int = DEPTH) -> DataFrame:
     """(query, ndcg) with linear gain; 0 for a query without a relevant document."""
-    w = Window.partitionBy(query_col)
-    both = scored.select(query_col, label.alias("_g"), F.row_number().over(w.orderBy(score.desc(), *tie)).alias("_r"), F.row_number().over(w.orderBy(label.desc(), *tie)).alias("_i"))
-    gain = lambda at: F.sum(F.when(F.col(at) <= depth, F.col("_g") / F.log2(F.col(at) + 1)).otherwise(0.0))
-    sums = both.groupBy(query_col).agg(gain("_r").alias("d"), gain("_i").alias("i"))
-    return sums.select(query_col, F.round(F.when(F.col("i") > 0, F.col("d") / F.col("i")).otherwise(0.0), 6).alias("ndcg"))
+    # the two orders are cut at the depth each, before the shuffle (WindowGroupLimit): a query's documents never meet in one task
+    own = scored.withColumn("_g", label).withColumn("_s", score)
+    gain = F.sum(F.col("_g") / F.log2(F.col("rank") + 1))
+    got = ranked(own, query_col, F.col("_s"), tie, depth).groupBy(query_col).agg(gain.alias("d"))
+    ideal = ranked(own, query_col, F.col("_g"), tie, depth).groupBy(query_col).agg(gain.alias("i"))
+    return got.join(ideal, query_col).select(query_col, F.round(F.when(F.col("i") > 0, F.col("d") / F.col("i")).otherwise(0.0), 6).alias("ndcg"))
 
 
 def nearest_with_margin(scored: DataFrame, query_col: str, doc_col: str, score: Column) -> DataFrame:

@@ -30,28 +30,33 @@ class RunResult:
         return 2 if self.skipped else 0
 
 
-def output_lines(records: DataFrame, batches: DataFrame, spec: EncoderSpec, keys: tuple[str, ...] = ("file", "batch_no")) -> DataFrame:
-    """(keys, line_no, value): JSON lines for each record, or a document for each batch, also for an empty one."""
+def output_lines(records: DataFrame, parsed: DataFrame, spec: EncoderSpec, keys: tuple[str, ...] = ("file", "batch_no")) -> DataFrame:
+    """(keys, line_no, value): a line for each record and an empty one for each batch end; or, in the openai format,
+    a document for each batch, also for an empty one, and one empty document where there is no line at all."""
     o = spec.options
     if o.format == "openai":
         own = P.with_chunks(records, by=keys)
-        docs = L.openai_documents(batches.select(*keys).distinct().withColumn("model", F.lit(spec.label)), own, keys)
+        batches = parsed.select(*keys).distinct()
+        if batches.isEmpty():
+            batches = parsed.sparkSession.createDataFrame([(None, 0)], parsed.select(*keys).schema)
+        docs = L.openai_documents(batches.withColumn("model", F.lit(spec.label)), own, keys)
         return docs.select(*keys, F.lit(0).alias("line_no"), F.col("document").alias("value"))
     facts = (F.col("n_tokens"), F.col("truncated")) if o.report_tokens else ()
-    return records.select(*keys, "line_no", L.jsonl_line(F.col("id_json"), F.col("embedding"), *facts).alias("value"))
+    lines = records.select(*keys, "line_no", L.jsonl_line(F.col("id_json"), F.col("embedding"), *facts).alias("value"))
+    return lines.unionByName(parsed.where("kind = 'flush'").select(*keys, "line_no", F.lit("").alias("value")))
 
 
 def run_lines(lines: DataFrame, out: str, spec: EncoderSpec = EncoderSpec()) -> RunResult:
     """lines: (file, line_no, line). Writes out/vectors (text), out/skipped and returns the summary.
 
-    Each line's record is embedded once: the vectors are kept as a table before they are written and counted. Text
-    files are written by batch order within their task; a reader maps by id and never relies on the order.
+    Each record is embedded once: the vectors are kept as a table before they are written and counted. The output
+    of an input file stays together and in its order, as its batch ends mean nothing elsewhere.
     """
     parsed = materialize(P.with_batches(P.parse_lines(lines), stream_col="file"), "parsed")
     todo = parsed.where("kind = 'record'").select("file", "batch_no", "line_no", "id_json", "text")
     records = materialize(embed_records(spread(todo, "line_no"), spec), "records")
-    written = output_lines(records, parsed, spec)
-    written.sortWithinPartitions("file", "batch_no", "line_no").select("value").write.mode("overwrite").text(f"{out}/vectors")
+    written = output_lines(records, parsed, spec).repartition("file").sortWithinPartitions("file", "batch_no", "line_no")
+    written.select("value").write.mode("overwrite").text(f"{out}/vectors")
     P.quarantine(parsed).select("file", "line_no", "line", "skip_reason", "message").write.mode("overwrite").parquet(f"{out}/skipped")
     return RunResult(**summary(parsed, records, spec).first().asDict())
 

@@ -53,3 +53,9 @@ def test_inventory(spark):
     p = I.prologue(a.withColumn("fast", F.col("op") == "y"), "run").first()
     assert (p.prologue, p.stragglers, p.ceiling) == (2, 1, 0.25)
     assert I.prologue(a.withColumn("fast", F.lit(False)), "run").first().prologue == 4
+
+
+def test_top_k_is_cut_before_the_shuffle(spark):
+    s = spark.range(1000).selectExpr("id % 3 AS q", "id AS d", "cast(id AS double) AS x")
+    plan = R.ranked(s, "q", F.col("x"), ["d"], 10)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("WindowGroupLimit") == 2

@@ -16,8 +16,9 @@ def folder(tmp_path):
 def test_jsonl(spark, folder):
     result = run.run_files(spark, str(folder / "a.jsonl"), str(folder / "out"), EncoderSpec().with_options(report_tokens=True))
     assert (result.n_in, result.n_out, result.skipped, result.truncated, result.dim, result.code) == (3, 2, 1, 0, 64, 2)
-    got = [json.loads(r.value) for r in spark.read.text(str(folder / "out" / "vectors")).collect()]
-    assert {json.dumps(r["id"]): r["n_tokens"] for r in got} == {'{"k": 1}': 3, "2": 4}
+    lines = [x for f in sorted((folder / "out" / "vectors").glob("part-*")) for x in f.read_text().splitlines()]
+    assert [json.loads(x)["id"] if x else None for x in lines] == [{"k": 1}, None, None, 2]
+    assert [json.loads(x)["n_tokens"] for x in lines if x] == [3, 4]
     assert spark.read.parquet(str(folder / "out" / "skipped")).first().message == "skip line 5: invalid JSON"
 
 
@@ -32,6 +33,9 @@ def test_empty_input(spark, folder):
     (folder / "none.jsonl").write_text("")
     result = run.run_files(spark, str(folder / "none.jsonl"), str(folder / "out"))
     assert (result.dim, result.n_in, result.n_out, result.code) == (0, 0, 0, 0)
+    assert spark.read.text(str(folder / "out" / "vectors")).count() == 0
+    run.run_files(spark, str(folder / "none.jsonl"), str(folder / "out"), EncoderSpec(options=Options(format="openai")))
+    assert [json.loads(r.value)["data"] for r in spark.read.text(str(folder / "out" / "vectors")).collect()] == [[]]
 
 
 def test_texts(spark):

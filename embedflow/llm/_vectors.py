@@ -152,9 +152,9 @@ def routed(vectors: DataFrame, forest: Forest, dim: int, bits: int) -> DataFrame
     def route(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             ok, x = unit_rows(b.column("v"), dim)
-            ids = b.column("id").to_numpy(zero_copy_only=False)[ok]
-            keep = ~np.isnan(ids) if ids.dtype.kind == "f" else np.ones(len(ids), bool)
-            ids, x = ids[keep].astype(np.int64), x[keep]
+            own = b.column("id")
+            known = np.asarray(own.is_valid())
+            ids, x = own.fill_null(0).to_numpy()[ok & known], x[known[ok]]
             if len(ids):
                 groups, code = box.value.groups(ids, x), pack(x, bits)
                 for j in range(groups.shape[1]):

@@ -100,3 +100,16 @@ def test_hot_copies_are_split(spark):
     assert groups.max() < 1200
     near = K.nearest_vectors(frame(spark, x), k=5, min_cos=0.75, leaf_rows=64).where("id BETWEEN 2001 AND 4000 AND cosine > 0.9999")
     assert near.groupBy("id").count().where("count = 5").count() == 2000
+
+
+def test_query_has_no_floor(spark, tmp_path):
+    """Every usable record gets five rows, also where its nearest are far."""
+    from embedflow.llm.queries import p2_nearest
+
+    x = RNG.normal(size=(300, 96)).astype(np.float32)
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    frame(spark, x).write.parquet(f"{tmp_path}/out_records.parquet")
+    got = p2_nearest(spark, str(tmp_path)).collect()
+    want = truth(x, 5, -1.0)
+    assert len({(r.out_id, r.near_id) for r in got} & want) / len(want) > 0.99
+    assert sorted((r.out_id, r["rank"]) for r in got) == [(i, n) for i in range(1, 301) for n in range(1, 6)]

@@ -132,35 +132,81 @@ class Forest:
             keys.append((np.int64(t) << 56) | (leaf << 24) | part.astype(np.int64))
         return np.hstack(keys)
 
+    def meetings(self, ids: np.ndarray, x: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """Keys of the groups in which rows meet, with the numbers of the rows: together each row's groups.
+
+        The parts of a split leaf meet two by two, so that any two rows of a leaf still stand in a common group.
+        """
+        keys = self.groups(ids, x)
+        for j, key in enumerate(keys.T):
+            parts, own = self.parts[j * len(self.cuts) // keys.shape[1]][key >> 24 & 0xFFFFFFFF], key & 0xFFFFFF
+            at = np.flatnonzero(parts == 1)
+            if len(at):
+                yield key[at], at
+            for other in range(parts.max(initial=1) if len(at) < len(key) else 0):
+                at = np.flatnonzero((other < parts) & (other != own) & (parts > 1))
+                if len(at):
+                    low, high = np.minimum(own[at], other), np.maximum(own[at], other)
+                    yield key[at] - own[at] + high * (high - 1) // 2 + low, at
+
+
+def coded(vectors: DataFrame, dim: int, bits: int) -> DataFrame:
+    """(id, code, h): the usable rows of vectors (id, v), packed, and the hash by which equal codes are found."""
+    width = code_width(dim, bits)
+
+    def pack_rows(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            ok, x = unit_rows(b.column("v"), dim)
+            own = b.column("id")
+            known = np.asarray(own.is_valid())
+            ids, x = own.fill_null(0).to_numpy()[ok & known], x[known[ok]]
+            if len(ids):
+                yield pa.RecordBatch.from_arrays([pa.array(ids), as_binary(pack(x, bits), width)], names=["id", "code"])
+
+    return vectors.mapInArrow(pack_rows, "id long, code binary").withColumn("h", F.unhex(F.md5("code")))
+
 
-def fit_forest(vectors: DataFrame, dim: int, trees: int, probes: int, leaf_rows: int, sample_rows: int, seed: int) -> Forest:
+def first_rows(codes: DataFrame, twins: DataFrame) -> DataFrame:
+    """(id, code, n): of rows of equal code that of the least id, n of twins (h, rep, n), and 1 for a code of one id."""
+    joined = codes.join(twins.select("h", "rep", "n"), "h", "left").where("rep IS NULL OR rep = id")
+    return joined.select("id", "code", F.coalesce("n", F.lit(1)).cast("long").alias("n"))
+
+
+def fit_forest(
+    vectors: DataFrame, dim: int, trees: int, probes: int, leaf_rows: int, sample_rows: int, seed: int, twins: DataFrame | None = None, bits: int = 12
+) -> Forest:
     """vectors: (id, v). Cuts are fitted on a Bernoulli sample of about sample_rows rows; every row is indexed.
 
-    leaf_rows holds for up to 262,144 rows; see leaf_size for more.
+    With twins, the table of codes that several ids have, each code counts once. leaf_rows holds for up to 262,144
+    rows; see leaf_size for more.
     """
     rows = vectors.count()
-    picked = vectors.select("v").sample(fraction=min(1.0, sample_rows / max(rows, 1)), seed=seed).toArrow()
-    _, x = unit_rows(picked["v"].combine_chunks(), dim)
+    share = min(1.0, sample_rows / max(rows, 1))
+    while True:
+        picked = vectors.sample(fraction=share, seed=seed)
+        if twins is None:
+            _, x = unit_rows(picked.select("v").toArrow()["v"].combine_chunks(), dim)
+            break
+        x = unpacked(first_rows(coded(picked, dim, bits), twins).select("code").toArrow()["code"], dim, bits)
+        rows = round(len(x) / share)
+        if share == 1 or len(x) >= sample_rows / 2:
+            break
+        share = min(1.0, max(2 * share, sample_rows / max(rows, 1)))  # most rows were copies
     return Forest.fit(x, rows, dim, trees, probes, leaf_size(rows, leaf_rows), seed)
 
 
-def routed(vectors: DataFrame, forest: Forest, dim: int, bits: int) -> DataFrame:
-    """(grp, id, code): a row for each group that a usable vector belongs to."""
-    width = code_width(dim, bits)
-    box = vectors.sparkSession.sparkContext.broadcast(forest)
+def routed(codes: DataFrame, forest: Forest, dim: int, bits: int) -> DataFrame:
+    """(grp, id, code, n): a row of codes (id, code, n) for each group that it belongs to."""
+    box = codes.sparkSession.sparkContext.broadcast(forest)
 
     def route(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            ok, x = unit_rows(b.column("v"), dim)
-            own = b.column("id")
-            known = np.asarray(own.is_valid())
-            ids, x = own.fill_null(0).to_numpy()[ok & known], x[known[ok]]
-            if len(ids):
-                groups, code = box.value.groups(ids, x), pack(x, bits)
-                for j in range(groups.shape[1]):
-                    yield pa.RecordBatch.from_arrays([pa.array(groups[:, j]), pa.array(ids), as_binary(code, width)], names=["grp", "id", "code"])
+            if b.num_rows:
+                for keys, at in box.value.meetings(b.column("id").to_numpy(), unpacked(b.column("code"), dim, bits)):
+                    own = b if len(at) == b.num_rows else b.take(pa.array(at))
+                    yield pa.RecordBatch.from_arrays([pa.array(keys), *own.columns], names=["grp", "id", "code", "n"])
 
-    return vectors.mapInArrow(route, "grp long, id long, code binary")
+    return codes.select("id", "code", "n").mapInArrow(route, "grp long, id long, code binary, n long")
 
 
 def as_binary(code: np.ndarray, width: int) -> pa.Array:
@@ -168,11 +214,14 @@ def as_binary(code: np.ndarray, width: int) -> pa.Array:
     return pa.Array.from_buffers(pa.binary(), len(code), [None, pa.py_buffer(offsets), pa.py_buffer(np.ascontiguousarray(code))])
 
 
-def group_matrix(t: pa.Table, dim: int, bits: int) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct ids of a group, ascending, and their vectors; second deliveries of an id count once."""
-    codes = b"".join(t["code"].to_pylist())
+def unpacked(codes: pa.Array | pa.ChunkedArray, dim: int, bits: int) -> np.ndarray:
+    return unpack(np.frombuffer(b"".join(codes.to_pylist()), np.uint8).reshape(-1, code_width(dim, bits)), dim, bits)
+
+
+def group_matrix(t: pa.Table, dim: int, bits: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct ids of a group, ascending, their vectors and their n; second deliveries of an id count once."""
     ids, at = np.unique(t["id"].to_numpy(), return_index=True)
-    return ids, unpack(np.frombuffer(codes, np.uint8).reshape(-1, code_width(dim, bits))[at], dim, bits)
+    return ids, unpacked(t["code"], dim, bits)[at], t["n"].to_numpy()[at]
 
 
 def vectors_of(df: DataFrame, id_col: str, vector_col: str) -> DataFrame:

@@ -17,17 +17,21 @@ from embedflow.llm import _vectors as V
 from embedflow.runtime import materialize
 
 
-def linked_pieces(x: np.ndarray, min_cos: float, block_rows: int = 512) -> tuple[np.ndarray, np.ndarray]:
-    """For each row the smallest row number of its connected piece, and how many rows it is linked to."""
+def linked_pieces(x: np.ndarray, min_cos: float, block_rows: int = 512, copies: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """For each row the smallest row number of its connected piece, and how many rows it is linked to.
+
+    A row that stands for several copies counts so often; its copies are linked to each other.
+    """
     n = len(x)
-    label, degree = np.arange(n), np.zeros(n, np.int64)
+    copies = np.ones(n, np.int64) if copies is None else copies
+    label, degree = np.arange(n), copies - 1
     for start in range(0, n, block_rows):
         own = x[start : start + block_rows]
         hit = own @ x[start:].T >= min_cos
         hit &= np.arange(n - start)[None, :] > np.arange(len(own))[:, None]
-        degree[start : start + len(own)] += hit.sum(axis=1)
-        degree[start:] += hit.sum(axis=0)
         r, c = np.nonzero(hit)
+        degree[start : start + len(own)] += np.bincount(r, weights=copies[start + c], minlength=len(own)).astype(np.int64)
+        degree[start:] += np.bincount(c, weights=copies[start + r], minlength=n - start).astype(np.int64)
         left, right = label[start + r], label[start + c]
         apart = left != right
         if not apart.any():
@@ -100,27 +104,35 @@ def grid_clusters(
     sample on which the cells' borders are fitted; all rows are placed.
     """
     vectors = V.vectors_of(df, id_col, vector_col)
-    cells = V.fit_forest(vectors, dim, grids, probes, cell_rows, sample_rows, seed)
+    codes = V.coded(vectors, dim, 8)
+    # equal vectors are linked, so that one row stands for them; (h, rep, n) of codes that several ids have
+    twins = codes.select("h", "id").distinct().groupBy("h").agg(F.min("id").alias("rep"), F.count("*").alias("n")).where("n > 1")
+    twins = materialize(twins, "twins")
+    cells = V.fit_forest(vectors, dim, grids, probes, cell_rows, sample_rows, seed, twins, 8)
 
     def link(t: pa.Table) -> pa.Table:
-        ids, x = V.group_matrix(t, dim, 8)
-        label, degree = linked_pieces(x, min_cos)
+        ids, x, n = V.group_matrix(t, dim, 8)
+        label, degree = linked_pieces(x, min_cos, copies=n)
         at = np.flatnonzero(degree > 0)
-        return pa.table({"id": ids[at], "label": ids[label[at]], "links": degree[at]})
+        return pa.table({"id": ids[at], "label": ids[label[at]], "links": degree[at], "n": n[at]})
 
-    seen = V.routed(vectors, cells, dim, 8).groupBy("grp").applyInArrow(link, "id long, label long, links long")
+    seen = V.routed(V.first_rows(codes, twins), cells, dim, 8).groupBy("grp").applyInArrow(link, "id long, label long, links long, n long")
     # a piece is named by its smallest id, so pieces of one name are connected; a row has at most grids * probes of them
-    rows = seen.groupBy("id").agg(F.min("label").alias("root"), F.max("links").alias("density"), F.collect_set("label").alias("names"))
+    rows = seen.groupBy("id").agg(F.min("label").alias("root"), F.max("links").alias("density"), F.max("n").alias("n"), F.collect_set("label").alias("names"))
     rows = materialize(rows, "rows")
     joined = rows.where(F.size("names") > 1).select(F.explode("names").alias("a"), F.col("root").alias("b")).where("a <> b").distinct()
     labels = propagate_minimum(joined)
     return seen.sparkSession.sql(
         """
-        WITH placed AS (SELECT r.id, r.density, coalesce(l.label, r.root) AS cluster FROM {rows} r LEFT JOIN {labels} l ON r.root = l.node),
-             sized AS (SELECT cluster, count(*) AS size FROM placed GROUP BY cluster HAVING count(*) >= {min_size})
-        SELECT p.cluster, p.id, p.density, s.size FROM placed p JOIN sized s ON p.cluster = s.cluster
+        WITH placed AS (SELECT r.id, r.density, r.n, coalesce(l.label, r.root) AS cluster FROM {rows} r LEFT JOIN {labels} l ON r.root = l.node),
+             sized AS (SELECT cluster, sum(n) AS size FROM placed GROUP BY cluster HAVING sum(n) >= {min_size}),
+             kept AS (SELECT p.cluster, p.id, p.density, s.size, p.n FROM placed p JOIN sized s ON p.cluster = s.cluster),
+             others AS (SELECT DISTINCT c.id, t.rep FROM {codes} c JOIN {twins} t ON c.h = t.h WHERE c.id <> t.rep)
+        SELECT cluster, id, density, size FROM kept
+        UNION ALL
+        SELECT k.cluster, o.id, k.density, k.size FROM others o JOIN kept k ON o.rep = k.id WHERE k.n > 1
         """,
-        rows=rows, labels=labels, min_size=min_size,
+        rows=rows, labels=labels, codes=codes.select("id", "h"), twins=twins, min_size=min_size,
     )
 
 

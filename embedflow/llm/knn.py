@@ -106,7 +106,7 @@ def nearest_vectors(
     forest = V.fit_forest(vectors, dim, trees, probes, leaf_rows, sample_rows, seed)
 
     def search(t: pa.Table) -> pa.Table:
-        ids, x = V.group_matrix(t, dim, 12)
+        ids, x, _ = V.group_matrix(t, dim, 12)
         who, cos = group_neighbours(x, k, min_cos, confidence)
         has = np.flatnonzero(who[:, 0] >= 0)
         size = (who[has] >= 0).sum(axis=1)
@@ -114,7 +114,8 @@ def nearest_vectors(
         near = pa.StructArray.from_arrays([pa.array(ids[who[has][take]]), pa.array(cos[has][take])], names=["neighbour", "cosine"])
         return pa.table({"id": pa.array(ids[has]), "near": pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(size)]).astype(np.int32)), near)})
 
-    found = V.routed(vectors, forest, dim, 12).groupBy("grp").applyInArrow(search, "id long, near array<struct<neighbour:long,cosine:float>>")
+    codes = V.coded(vectors, dim, 12).withColumn("n", F.lit(1).cast("long"))
+    found = V.routed(codes, forest, dim, 12).groupBy("grp").applyInArrow(search, "id long, near array<struct<neighbour:long,cosine:float>>")
     # at most k entries from each of trees * probes groups
     per_pair = found.select("id", F.inline("near")).groupBy("id", "neighbour").agg(F.max("cosine").alias("cosine"))
     ranked = per_pair.groupBy("id").agg(F.slice(F.sort_array(F.collect_list(F.struct((-F.col("cosine")).alias("c"), "neighbour"))), 1, k).alias("near"))

@@ -1,6 +1,7 @@
 import numpy as np
 import pytest
 
+from embedflow.llm import _vectors as V
 from embedflow.llm import clusters as C
 
 RNG = np.random.default_rng(9)
@@ -85,3 +86,32 @@ def test_propagation(spark):
     assert got == dict.fromkeys(range(1, 301), 1) | {400: 400, 500: 400}
     with pytest.raises(RuntimeError):
         C.propagate_minimum(chain, max_rounds=2)
+
+
+@pytest.mark.parametrize("hot,n", [(700, 2100), (2000, 4000), (5000, 7000)])
+def test_copies_are_one_cluster(spark, hot, n):
+    """However many rows are one vector, and into however many parts their cells would be split."""
+    x = data([6], n)
+    x[100 : 100 + hot] = x[100]
+    x[50:56] = x[100] + 0.02 * x[200 + hot : 206 + hot]
+    members = C.grid_clusters(frame(spark, x, range(len(x))), cell_rows=32, grids=6).where("cluster = 50").collect()
+    assert sorted(r.id for r in members) == [*range(50, 56), *range(100, 100 + hot)]
+    assert {r.size for r in members} == {hot + 6}
+    assert {r.density for r in members if r.id >= 100} == {hot + 5}
+
+
+@pytest.mark.parametrize("hot", [400, 1500, 3000])
+def test_parts_of_a_cell_meet(hot):
+    """Rows that no cut divides: any two of them still stand in a common group, and no group holds them all."""
+    x = data([], 3500)
+    x[:hot] = x[0]
+    forest = V.Forest.fit(x, len(x), 96, 2, 2, 16, 3)
+    groups = {}
+    for keys, at in forest.meetings(np.arange(len(x)), x):
+        for key, i in zip(keys.tolist(), at.tolist()):
+            groups.setdefault(key, set()).add(i)
+    met = np.zeros((hot, hot), bool)
+    for g in groups.values():
+        own = [i for i in g if i < hot]
+        met[np.ix_(own, own)] = True
+    assert met.all() and max(map(len, groups.values())) < 4 * 4 * 2 * 16

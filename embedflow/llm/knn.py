@@ -13,10 +13,11 @@ import math
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from embedflow.llm import _vectors as V
+from embedflow.runtime import materialize
 
 
 def chi2_quantile(p: float, dof: int) -> float:
@@ -80,6 +81,16 @@ def group_neighbours(x: np.ndarray, k: int, min_cos: float, confidence: float, b
     return who, best
 
 
+def first_twins(codes: DataFrame, most: int) -> DataFrame:
+    """(h, rep, n, ids): of each code that several ids have the least ids, at most `most` of them, n of them, and the least.
+
+    Ranks are cut before the shuffle, so that a code that most rows have is no hot spot.
+    """
+    ranked = codes.select("h", "id", F.dense_rank().over(Window.partitionBy("h").orderBy("id")).alias("r")).where(F.col("r") <= most)
+    listed = ranked.groupBy("h").agg(F.sort_array(F.collect_set("id")).alias("ids"))
+    return listed.select("h", F.col("ids")[0].alias("rep"), F.size("ids").alias("n"), "ids").where("n > 1")
+
+
 def nearest_vectors(
     df: DataFrame,
     id_col: str = "out_id",
@@ -103,23 +114,38 @@ def nearest_vectors(
     cuts of the trees are fitted; all rows are indexed and all rows are queries.
     """
     vectors = V.vectors_of(df, id_col, vector_col)
-    forest = V.fit_forest(vectors, dim, trees, probes, leaf_rows, sample_rows, seed)
+    codes = V.coded(vectors, dim, 12)
+    twins = materialize(first_twins(codes, k + 1), "twins")
+    forest = V.fit_forest(vectors, dim, trees, probes, leaf_rows, sample_rows, seed, twins, 12)
 
     def search(t: pa.Table) -> pa.Table:
-        ids, x, _ = V.group_matrix(t, dim, 12)
+        ids, x, n = V.group_matrix(t, dim, 12)
         who, cos = group_neighbours(x, k, min_cos, confidence)
-        has = np.flatnonzero(who[:, 0] >= 0)
+        has = np.flatnonzero((who[:, 0] >= 0) | (n > 1))
         size = (who[has] >= 0).sum(axis=1)
         take = np.arange(k)[None, :] < size[:, None]
-        near = pa.StructArray.from_arrays([pa.array(ids[who[has][take]]), pa.array(cos[has][take])], names=["neighbour", "cosine"])
+        near = pa.StructArray.from_arrays([pa.array(-cos[has][take]), pa.array(ids[who[has][take]])], names=["c", "neighbour"])
         return pa.table({"id": pa.array(ids[has]), "near": pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(size)]).astype(np.int32)), near)})
 
-    codes = V.coded(vectors, dim, 12).withColumn("n", F.lit(1).cast("long"))
-    found = V.routed(codes, forest, dim, 12).groupBy("grp").applyInArrow(search, "id long, near array<struct<neighbour:long,cosine:float>>")
-    # at most k entries from each of trees * probes groups
-    per_pair = found.select("id", F.inline("near")).groupBy("id", "neighbour").agg(F.max("cosine").alias("cosine"))
-    ranked = per_pair.groupBy("id").agg(F.slice(F.sort_array(F.collect_list(F.struct((-F.col("cosine")).alias("c"), "neighbour"))), 1, k).alias("near"))
-    return ranked.select("id", F.posexplode("near").alias("pos", "n")).select("id", F.col("n.neighbour").alias("neighbour"), (-F.col("n.c")).alias("cosine"), (F.col("pos") + 1).alias("rank"))
+    found = V.routed(V.first_rows(codes, twins), forest, dim, 12).groupBy("grp").applyInArrow(search, "id long, near array<struct<c:float,neighbour:long>>")
+    # at most k entries from each of trees * probes groups; c is the negative cosine
+    all_near = found.groupBy("id").agg(F.sort_array(F.flatten(F.collect_list("near"))).alias("near"))
+    return df.sparkSession.sql(
+        """
+        WITH ranked AS (SELECT id, near.c AS cs, near.neighbour AS others, slice(array_distinct(near.neighbour), 1, {k}) AS best FROM {all_near}),
+             nearest AS (SELECT id, transform(best, b -> struct(cs[array_position(others, b) - 1] AS c, b AS neighbour)) AS near FROM ranked),
+             -- a neighbour stands for all that equal it
+             spread AS (SELECT n.id, n.e.c, explode(coalesce(t.ids, array(n.e.neighbour))) AS neighbour FROM (SELECT id, explode_outer(near) AS e FROM nearest) n LEFT JOIN {twins} t ON n.e.neighbour = t.rep),
+             lists AS (SELECT id, slice(sort_array(collect_list(struct(c, neighbour)) FILTER (WHERE neighbour IS NOT NULL)), 1, {k}) AS near FROM spread GROUP BY id),
+             -- fewer than k others equal it: they come first; else they are all
+             few AS (SELECT explode(CASE WHEN t.ids IS NULL THEN array(l.id) WHEN t.n <= {k} THEN t.ids ELSE array() END) AS id, t.ids, l.near FROM lists l LEFT JOIN {twins} t ON l.id = t.rep),
+             many AS (SELECT DISTINCT c.id, t.ids FROM {codes} c JOIN {twins} t ON c.h = t.h WHERE t.n > {k}),
+             every AS (SELECT id, slice(concat(transform(filter(coalesce(ids, array()), i -> i <> id), i -> struct(CAST(-1 AS FLOAT) AS c, i AS neighbour)), near), 1, {k}) AS near FROM few
+                       UNION ALL SELECT id, slice(transform(filter(ids, i -> i <> id), i -> struct(CAST(-1 AS FLOAT) AS c, i AS neighbour)), 1, {k}) FROM many)
+        SELECT id, n.neighbour, -n.c AS cosine, pos + 1 AS rank FROM (SELECT id, posexplode(near) AS (pos, n) FROM every)
+        """,
+        all_near=all_near, twins=twins, codes=codes.select("id", "h"), k=k,
+    )
 
 
 def similar_pairs(near: DataFrame) -> DataFrame:

@@ -113,3 +113,37 @@ def test_query_has_no_floor(spark, tmp_path):
     want = truth(x, 5, -1.0)
     assert len({(r.out_id, r.near_id) for r in got} & want) / len(want) > 0.99
     assert sorted((r.out_id, r["rank"]) for r in got) == [(i, n) for i in range(1, 301) for n in range(1, 6)]
+
+
+def test_variants_of_a_hot_vector(spark):
+    """A third of all rows is one vector; rows close to it still find their nearest, and so do its copies."""
+    x = clustered(9000)
+    x[3000:6000] = x[3000]
+    away = RNG.normal(size=(300, 96))
+    away -= np.outer(away @ x[3000], x[3000])
+    x[6000:6300] = 0.9 * x[3000] + np.sqrt(1 - 0.81) * away / np.linalg.norm(away, axis=1, keepdims=True)
+    near = {(r.id, r.neighbour) for r in K.nearest_vectors(frame(spark, x), k=5, leaf_rows=64).where("id BETWEEN 6001 AND 6300").collect()}
+    s = x[6000:6300] @ x.T
+    s[np.arange(300), np.arange(6000, 6300)] = -2
+    fifth = np.sort(s, axis=1)[:, -5]
+    assert len(near) == 1500
+    assert sum(s[a - 6001, b - 1] >= fifth[a - 6001] - 1e-3 for a, b in near) / len(near) > 0.9
+
+
+def test_few_copies_expand(spark):
+    """Groups of two to seven equal vectors, some delivered twice: copies first, then the nearest others with all of their copies."""
+    x = np.repeat(clustered(40), [2, 3, 4, 5, 6, 7, 1, 1] * 5, axis=0)
+    df = frame(spark, x)
+    got = {}
+    for r in K.nearest_vectors(df.union(df), k=5).orderBy("id", "rank").collect():
+        got.setdefault(r.id, []).append(r.neighbour)
+    kind = np.unique(x, axis=0, return_inverse=True)[1].ravel()
+    s = np.round((x @ x.T).astype(np.float64), 5)
+    np.fill_diagonal(s, -2)
+    s[kind[:, None] == kind[None, :]] += 1  # copies first
+    np.fill_diagonal(s, -2)
+    assert sorted(got) == list(range(1, len(x) + 1))
+    for i, own in got.items():
+        assert len(own) == len(set(own)) == 5 and i not in own
+        want = np.argsort(-s[i - 1], kind="stable")[:5] + 1
+        assert np.allclose(s[i - 1, np.array(own) - 1], s[i - 1, want - 1], atol=1e-3)

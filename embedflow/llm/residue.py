@@ -45,8 +45,8 @@ FIELD = (
 )
 #: A record is residue if notices make up so much of what could be told apart in it, beside its title
 LEAST_SHARE = 1 / 3
-#: The most characters of a line of page furniture
-FURNITURE = 60
+#: The most characters of a line of page furniture, and the least share and number of records that hold it
+FURNITURE, FURNITURE_SHARE, FURNITURE_RECORDS = 60, 1 / 4000, 5
 ENDS = frozenset("。！？!?.")
 _mark = regex.compile(f"(?P<raw>{RAW})|(?P<blank>{BLANK})|(?P<field>{FIELD})")
 # what every mark holds at least: most passages hold none of it, and this test is quick
@@ -174,11 +174,43 @@ def _posterior(score: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(score, -30, 30)))
 
 
-def learn(texts: list[str], rounds: int = 5, min_count: int = 3) -> ResidueModel:
-    """Fits both models on the given texts; without a trusted record nothing is ever found."""
-    split = [passages(t) for t in dict.fromkeys(texts)]
-    repeated = Counter(q for d in split for q in {folded(p) for p in d} if len(q) <= FURNITURE and q[-1] not in ENDS and not TRUSTED.search(q))
-    furniture = frozenset(q for q, n in repeated.items() if n >= 5)
+def furniture_like(text: str) -> set[str]:
+    """Short lines of a text that may be page furniture: without a full stop, a known message or a field mark."""
+    lines = ((p, folded(p)) for p in passages(text))
+    return {q for p, q in lines if len(q) <= FURNITURE and q[-1] not in ENDS and not TRUSTED.search(q) and not (_mark_like.search(p) and has_mark(features(p)))}
+
+
+def least_records(records: int) -> int:
+    """How many records must hold a line of page furniture."""
+    return max(FURNITURE_RECORDS, math.ceil(records * FURNITURE_SHARE))
+
+
+def learn(texts: list[str], rounds: int = 5, min_count: int = 3, repeated: frozenset[str] | None = None) -> ResidueModel:
+    """Fits both models on the given texts; without a trusted record nothing is ever found.
+
+    repeated: the lines that enough records of the whole table hold; by default those of the given texts. Such a line
+    is page furniture, and left out, unless a first fit finds it to be a notice: by its own score, or because most
+    records that hold it beside other passages are residue. It is then fitted and scored as any other passage.
+    """
+    texts = list(dict.fromkeys(texts))
+    lines = [furniture_like(t) for t in texts]
+    if repeated is None:
+        counted = Counter(q for own in lines for q in own)
+        repeated = frozenset(q for q, n in counted.items() if n >= least_records(len(texts)))
+    split = [passages(t) for t in texts]
+    model, labels = _fit(split, repeated, rounds, min_count)
+    held: dict[str, list[float]] = {}
+    for own, label in zip(lines, labels.tolist()):
+        if label == label:
+            for q in own & repeated:
+                held.setdefault(q, []).append(label)
+    notices = {q for q in repeated if sum(model.notice.get(f, 0.0) for f in features(q)) > 1 or (q in held and sum(held[q]) > 0.5 * len(held[q]))}
+    return _fit(split, repeated - notices, rounds, min_count)[0] if notices else model
+
+
+def _fit(split: list[list[str]], furniture: frozenset[str], rounds: int, min_count: int) -> tuple[ResidueModel, np.ndarray]:
+    """The models, and how surely each record consists of notices (NaN: nothing but furniture and a title)."""
+    unknown = np.full(len(split), np.nan)
     ids: dict[str, int] = {}
     flat: list[tuple[int, str]] = []  # record, passage
     coded, first, near = [], [], []  # near: what stands around the marks of a passage
@@ -196,7 +228,7 @@ def learn(texts: list[str], rounds: int = 5, min_count: int = 3) -> ResidueModel
     kept[counts >= min_count] = np.arange((counts >= min_count).sum())
     vocabulary = {f: int(kept[i]) for f, i in ids.items() if kept[i] >= 0}
     if not vocabulary:
-        return ResidueModel({}, {}, -99.0, furniture)
+        return ResidueModel({}, {}, -99.0, furniture), unknown
     marked = np.array([bool(marks[c].any()) for c in coded])
     coded = [kept[c][kept[c] >= 0] for c in coded]
     doc_of = np.array([x[0] for x in flat])
@@ -216,19 +248,22 @@ def learn(texts: list[str], rounds: int = 5, min_count: int = 3) -> ResidueModel
     length = np.bincount(doc_of, weights=size, minlength=n_docs)
     sure_text = ((length >= 250) & (known < 0.15))[doc_of]  # reliable negatives
     if not trusted.any():
-        notice = np.zeros(v)
+        notice, labels = np.zeros(v), unknown
     else:
         p = trusted * body.astype(float)
         for _ in range(rounds):
             notice = _ratios(weigh(p), weigh(1 - p))
             # a passage is labelled by its record: what is quoted in ordinary texts stays ordinary
             p = _posterior(12 * (share(_posterior(score(notice).clip(-8, 8) - 2) * body) / whole - 0.6))[doc_of]
-            p = np.where(trusted, 1.0, np.where(sure_text, 0.0, p)) * body
+            p = np.where(trusted, 1.0, np.where(sure_text, 0.0, p))
+            labels = unknown.copy()
+            labels[doc_of[body]] = p[body]
+            p = p * body
 
     plain = ~marked & (score(notice) < 0)
     many = np.bincount(doc_of[marked], minlength=n_docs)[doc_of] >= 2
     if not marked.any():
-        return ResidueModel(dict(zip(vocabulary, notice.tolist())), {}, -99.0, furniture)
+        return ResidueModel(dict(zip(vocabulary, notice.tolist())), {}, -99.0, furniture), labels
     ordinary = weigh(plain.astype(float))
     at = np.array([k for k, _ in near])
     codes = [kept[c][kept[c] >= 0] for _, c in near]
@@ -248,15 +283,33 @@ def learn(texts: list[str], rounds: int = 5, min_count: int = 3) -> ResidueModel
         rate = float(q.mean())
         prior = math.log(max(rate, 1e-3) / max(1 - rate, 1e-3))
         q = _posterior(np.bincount(near_rows, weights=field[near_cols], minlength=len(near)) + prior + np.where(certain, 2.0, 0.0))
-    return ResidueModel(dict(zip(vocabulary, notice.tolist())), dict(zip(vocabulary, field.tolist())), prior, furniture)
+    return ResidueModel(dict(zip(vocabulary, notice.tolist())), dict(zip(vocabulary, field.tolist())), prior, furniture), labels
+
+
+def repeated_lines(texts: DataFrame, rows: int) -> frozenset[str]:
+    """texts: (t), of `rows` rows. Lines that may be page furniture and that enough different texts hold, counted over all of them.
+
+    At most so many lines come to the driver as an average record has, times 1 / FURNITURE_SHARE.
+    """
+
+    def lines(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            found = [(q, h) for t, h in zip(b.column("t").to_pylist(), b.column("h").to_pylist()) for q in furniture_like(t)]
+            yield pa.RecordBatch.from_arrays([pa.array([q for q, _ in found], pa.string()), pa.array([h for _, h in found], pa.int64())], names=["line", "h"])
+
+    own = spread(texts.select("t", F.xxhash64("t").alias("h")), "h").mapInArrow(lines, "line string, h long").distinct()
+    return frozenset(r.line for r in own.groupBy("line").count().where(F.col("count") >= least_records(rows)).select("line").collect())
 
 
 def fit_residue_model(documents: DataFrame, text_col: str = "text", sample_rows: int = 20_000, seed: int = 3) -> ResidueModel:
-    """Learns from a Bernoulli sample of about sample_rows records, taken from all of the table; a documented bound."""
+    """Learns from a Bernoulli sample of about sample_rows records, taken from all of the table; a documented bound.
+
+    Repeated lines are counted over all records.
+    """
     kept = documents.select(F.col(f"`{text_col}`").alias("t")).where("t IS NOT NULL")
     rows = kept.count()
     picked = kept.sample(fraction=min(1.0, sample_rows / max(rows, 1)), seed=seed).toArrow()
-    return learn(picked["t"].to_pylist())
+    return learn(picked["t"].to_pylist(), repeated=repeated_lines(kept, rows))
 
 
 def with_residue(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text", sample_rows: int = 20_000, model: ResidueModel | None = None) -> DataFrame:

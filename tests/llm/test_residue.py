@@ -70,3 +70,31 @@ def test_edge_rows(spark):
     assert len(got) == len(texts) + 1 and not any(r.residue for r in got if r.id in (0, 1, 2, 3, 6))
     assert R.with_residue(df.limit(0)).count() == 0
     assert R.learn([]).is_residue("404 Not Found") is False
+
+
+def test_unlisted_line_of_a_third(spark):
+    """A message that no list knows stands in a third of the records: beside known messages, and under titles alone."""
+    line, rest = "The shop is taking a short break", corpus(2000)
+    assert not R.TRUSTED.search(line.lower())
+    found = [f"{t}\n{line}" for t in rnd.choices(NOTICES, k=400)]
+    found = [f"{rnd.choice(PLACES)} {i}\n{x}" for i, x in enumerate(found)]
+    alone = [f"{rnd.choice(THINGS)} {i} of the {rnd.choice(PLACES)}\n{line}" for i in range(600)]
+    rows = [*rest, *enumerate([*found, *alone], len(rest))]
+    df = spark.createDataFrame([(r[0], r[1]) for r in rows], "doc_id long, text string")
+    got = {r.id for r in R.with_residue(df).where("residue").collect()}
+    assert len(got & set(range(len(rest), len(rows)))) > 0.95 * (len(found) + len(alone))
+    want = {i for i, _, y in rest if y}
+    assert len(got & want) / len(want) > 0.85 and len((got - want) & {r[0] for r in rest}) < 0.1 * len(want)
+
+
+def test_marks_are_no_furniture():
+    texts = [f"{' '.join(ordinary(4))}\nDear {{{{name}}}},\nTo the {p} shelf" for p in PLACES for _ in range(8)]
+    assert R.learn([*texts, *(t for _, t, _ in corpus(500))]).furniture == {f"to the {p} shelf" for p in PLACES}
+
+
+def test_furniture_is_counted_over_all_records(spark):
+    """Which lines are furniture doesn't depend on the sample on which the model is fitted."""
+    texts = [f"{' '.join(ordinary(5))}\nBack to the {PLACES[i % 5]} list" for i in range(60)]
+    df = spark.createDataFrame([(t,) for t in [*texts, *texts, *(t for _, t, _ in corpus(1500))]], "text string")
+    want = {f"back to the {p} list" for p in PLACES}
+    assert R.fit_residue_model(df, sample_rows=150).furniture == R.fit_residue_model(df).furniture == want

@@ -1,9 +1,10 @@
 """Problem 4: clusters of mutually similar vectors, by grids.
 
-The features are projections of the vectors; each grid quantises a few of them at the medians of its cells. SQL
-counts the rows of the cells. Inside a dense cell rows are linked by their cosine, and what is linked there forms
-a piece. Cells are adjacent where they hold the same row: every row also stands in the cell across its nearest
-border, and in a cell of every grid. Minimum labels are propagated over rows and pieces until nothing changes.
+The features are projections of the vectors; each grid quantises a few of them at the medians of its cells. Every
+cell links all of its rows by their cosine, and what is linked there forms a piece: cells aren't counted, and no
+dense ones are selected. Cells are adjacent where they hold the same row: every row also stands in the cell across
+its nearest border, and in a cell of every grid. Minimum labels are propagated over rows and pieces until nothing
+changes. The density of a row is the most links seen in one cell, not its links in the whole cluster.
 """
 
 from __future__ import annotations

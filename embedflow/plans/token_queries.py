@@ -85,7 +85,11 @@ def truncation_chunks(spark, d):
 
 
 def hashed_vector(text):
-    """Mean of the words' hashed vectors (8 components from each md5), of unit length; null without a word."""
+    """Mean of the hashed vectors (8 components from each md5) of the first 510 words, of unit length; null without a word.
+
+    The limit stands for the encoder's max_seq_length of 512 with its two special tokens, but counts words; words
+    beyond it are never read. The query hashed_truncated says which texts it cuts.
+    """
     # two components from each eight hex digits: conv is what costs
     eight = lambda h, i: F.conv(F.substring(h, 8 * i + 1, 8), 16, 10).cast("long")
     unit_range = lambda x: x.cast("double") / 32768 - 1
@@ -110,6 +114,13 @@ def embed_hashed(spark, d):
     return hashed_components(spread(texts(spark, d), "doc_id"))
 
 
+@query(r"SELECT doc_id, CAST(n AS INT) AS n_words, n > 510 AS truncated FROM (SELECT doc_id, len(list_filter(regexp_split_to_array(text, '[ \t\n\r]+'), lambda w: w <> '')) AS n FROM documents WHERE text IS NOT NULL)")
+def hashed_truncated(spark, d):
+    """Which texts embed_hashed, candidate_ranking and map_and_hit read only in part."""
+    t = texts(spark, d).select("doc_id", F.size(T.words(F.col("text"))).alias("n_words"))
+    return t.withColumn("truncated", F.col("n_words") > T.MAX_LENGTH - 2)
+
+
 def hashed_components(t):
     v = t.select("doc_id", hashed_vector(F.col("text")).alias("v")).where("v IS NOT NULL")
     return v.select("doc_id", F.posexplode("v").alias("j", "x")).select("doc_id", "j", F.round("x", 6).alias("v"))

@@ -78,3 +78,13 @@ def test_python_tokens_match_sql(spark):
     sql = column(spark, lambda c: T.encoded_ids(c, 512, spec.config.vocab), texts)
     assert [ids for ids, _ in Tokenizer(spec)(texts)] == [list(x) for x in sql]
     assert np.all([c for _, c in Tokenizer(spec)(texts)] == np.array([False, False, False, False, True]))
+
+
+def test_hashed_vector_says_what_it_cuts(spark, tmp_path):
+    from embedflow.plans.token_queries import embed_hashed, hashed_truncated
+
+    words = " ".join(f"w{i}" for i in range(510))
+    spark.createDataFrame([(1, words), (2, words + " more"), (3, None), (4, " ")], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    assert {tuple(r) for r in hashed_truncated(spark, str(tmp_path)).collect()} == {(1, 510, False), (2, 511, True), (4, 0, False)}
+    v = {(r.doc_id, r.j): r.v for r in embed_hashed(spark, str(tmp_path)).collect()}
+    assert all(v[1, j] == v[2, j] for j in range(8))

@@ -10,6 +10,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from embedflow.encoder import erf
+
 
 def unit_rows(vectors: pa.Array, dim: int) -> tuple[np.ndarray, np.ndarray]:
     """Mask of the usable rows (dim finite values, not all zero) and their unit vectors (float32)."""
@@ -75,6 +77,7 @@ class Forest:
     cuts: list[list[np.ndarray]]
     parts: list[np.ndarray]
     probes: int
+    rows: int = 0
 
     @staticmethod
     def fit(sample: np.ndarray, rows: int, dim: int, trees: int, probes: int, leaf_rows: int, seed: int) -> "Forest":
@@ -99,7 +102,7 @@ class Forest:
         for t in range(trees):
             share = np.bincount(blank.leaves(sample, t).ravel(), minlength=1 << depth) / max(len(sample), 1)
             parts.append(np.ceil(share * rows / (4 * probes * leaf_rows)).clip(1).astype(np.int64))
-        return Forest(directions, cuts, parts, probes)
+        return Forest(directions, cuts, parts, probes, rows)
 
     def leaves(self, x: np.ndarray, t: int) -> np.ndarray:
         """For each row its leaf in tree t, then the next ones by projected distance: (rows, up to probes)."""
@@ -123,6 +126,30 @@ class Forest:
             at = 2 * at + right
         return at
 
+    def met(self, x: np.ndarray, least: np.ndarray) -> np.ndarray:
+        """For each row how likely a neighbour of cosine `least` stands in one of its leaves.
+
+        A projected difference is the distance times a standard normal variable, so its square over the squared
+        distance is chi-square with one degree of freedom: the test of each gap to a leaf that isn't probed.
+        """
+        apart, missed = np.sqrt(np.maximum(2 - 2 * least, 1e-12)), np.ones(len(x))
+        for t, levels in enumerate(self.cuts):
+            p, node, gaps = x @ self.directions[t], np.zeros(len(x), np.int64), np.empty((len(x), len(levels)))
+            for level, cut in enumerate(levels):
+                gaps[:, level] = p[:, level] - cut[node]
+                node = 2 * node + (gaps[:, level] > 0)
+            left_out = np.sort(np.abs(gaps), axis=1)[:, self.probes - 1 :]
+            missed *= np.minimum(1, 0.5 * (1 - erf(left_out / apart[:, None] / np.sqrt(2))).sum(axis=1))
+        return 1 - missed
+
+    def cell_distances(self, x: np.ndarray, levels: int) -> np.ndarray:
+        """Squared projected distance of each row to each cell of the first tree's upper levels: (rows, 2 ** levels)."""
+        p, out = x @ self.directions[0], np.zeros((len(x), 1), np.float32)
+        for level in range(levels):
+            gap = p[:, level, None] - self.cuts[0][level][None, :]
+            out = np.stack([out + np.maximum(gap, 0) ** 2, out + np.where(gap > 0, 0, np.maximum(-gap, 1e-12)) ** 2], axis=2).reshape(len(x), -1)
+        return out
+
     def groups(self, ids: np.ndarray, x: np.ndarray) -> np.ndarray:
         """Group keys of each row: (rows, trees * probes)."""
         keys = []

@@ -42,7 +42,7 @@ def p2_found(spark: SparkSession, d: str) -> DataFrame:
 
 def p2_nearest(spark: SparkSession, d: str) -> DataFrame:
     """For each usable record its 5 nearest, however far, ranked."""
-    return knn.nearest_vectors(_read(spark, d, "out_records"), "out_id", "embedding", k=5).withColumnsRenamed({"id": "out_id", "neighbour": "near_id"})
+    return knn.nearest_vectors(_read(spark, d, "out_records"), "out_id", "embedding", k=5, beyond_trees=True).withColumnsRenamed({"id": "out_id", "neighbour": "near_id"})
 
 
 def p3_found(spark: SparkSession, d: str) -> DataFrame:

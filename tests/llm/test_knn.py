@@ -147,3 +147,29 @@ def test_few_copies_expand(spark):
         assert len(own) == len(set(own)) == 5 and i not in own
         want = np.argsort(-s[i - 1], kind="stable")[:5] + 1
         assert np.allclose(s[i - 1, np.array(own) - 1], s[i - 1, want - 1], atol=1e-3)
+
+
+@pytest.mark.parametrize("hot", [1, 1500])
+def test_search_goes_on_beyond_the_trees(spark, hot):
+    """Neighbours that no tree separates are found by going on through the cells until the test holds."""
+    x = clustered(5000)
+    x[100 : 100 + hot] = x[100]
+    df, s = frame(spark, x), x @ x.T
+    np.fill_diagonal(s, -2)
+    fifth = np.sort(s, axis=1)[:, -5]
+    found = lambda **kw: [(r.id - 1, r.neighbour - 1) for r in K.nearest_vectors(df, k=5, leaf_rows=64, **kw).collect()]
+    good = lambda pairs: np.mean([s[a, b] >= fifth[a] - 1e-3 for a, b in pairs])
+    far = lambda pairs: [(a, b) for a, b in pairs if fifth[a] < 0.6]
+    ended, whole = found(), found(beyond_trees=True, cell_rows=700)
+    assert len(whole) == len(set(whole)) == 25_000 and all(a != b for a, b in whole)
+    assert good(whole) > 0.97 and good(far(ended)) < 0.9 < good(far(whole))
+
+
+def test_far_neighbours_are_not_met():
+    x = clustered(4000)
+    forest = V.Forest.fit(x, len(x), 96, 3, 3, 64, 2)
+    near, middle, far = (forest.met(x, np.full(len(x), c, np.float32)).mean() for c in (0.98, 0.75, 0.3))
+    assert near > 0.95 > middle > far and forest.met(x[:3], np.ones(3, np.float32)).tolist() == [1, 1, 1]
+    apart = forest.cell_distances(x, 3)
+    assert apart.shape == (4000, 8) and (apart.min(axis=1) == 0).all()
+    assert np.bincount(apart.argmin(axis=1), minlength=8).min() > 400

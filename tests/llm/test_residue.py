@@ -1,6 +1,8 @@
 import random
 
 import pytest
+from hypothesis import example, given, settings
+from hypothesis import strategies as st
 
 from embedflow.llm import residue as R
 
@@ -98,3 +100,28 @@ def test_furniture_is_counted_over_all_records(spark):
     df = spark.createDataFrame([(t,) for t in [*texts, *texts, *(t for _, t, _ in corpus(1500))]], "text string")
     want = {f"back to the {p} list" for p in PLACES}
     assert R.fit_residue_model(df, sample_rows=150).furniture == R.fit_residue_model(df).furniture == want
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.lists(st.text(st.sampled_from("abcxé1２٣.-/: ,_{}%漢字カー々。〇\x01noul$[]Ж"), min_size=1, max_size=24), max_size=6))
+@example(["ab-12/34 x.-5 1ab-5 12-ab-5 éab-5 abcd-5", "a1-2", "%sa {x}b null", "__", "-", "カ", "2-"])
+def test_buckets_are_those_of_the_features(lines):
+    """The hashes over whole arrays are those of the features one by one, in their order."""
+    lines = [p for x in lines for p in R.passages(x)]
+    bucket, passage = R.coded(lines)
+    want = [(R.bucket_of(f), k) for k, p in enumerate(lines) for f in R.features(p)]
+    assert list(zip(bucket.tolist(), passage.tolist())) == want
+
+
+def test_texts_are_judged_alike_in_any_company():
+    model = R.learn([t for _, t, _ in corpus(1500)])
+    texts = [t for _, t, _ in corpus(300)] + [None, "", "x" * (R.CHUNK + 5), "404 Not Found", "  "]
+    rnd.shuffle(texts)
+    assert model.judged(texts).tolist() == [model.is_residue(t) for t in texts]
+
+
+def test_near_marks():
+    feats = R.np.array([20, 21, *range(30, 50), R.MARKS["\x01f"], 60, *range(70, 90)], R.np.int32)
+    assert R.near_marks(feats).tolist() == [*range(42, 50), 2, 60, *range(70, 77)]
+    assert R.near_marks(R.np.array([2, 1, 0, 9], R.np.int32)).tolist() == [2, 1, 0, 9, R.THREE_MARKS]
+    assert R.near_marks(R.np.array([2, 1, 0, 0], R.np.int32)).tolist()[-2:] == [R.THREE_MARKS, R.FOUR_MARKS]

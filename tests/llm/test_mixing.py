@@ -7,10 +7,48 @@ from embedflow.llm import mixing as M
 def test_split_is_exact():
     quota = np.array([1000, 1, 0, 37])
     for shards in (1, 2, 7):
-        out = M.split_quotas(quota, shards, 3)
+        out = M.split_quotas(quota, np.arange(shards + 1), 3)
         assert out.sum(axis=0).tolist() == quota.tolist() and (out >= 0).all()
         assert np.ptp(out.sum(axis=1)) <= np.ceil(np.log2(shards)) + 1
-    assert np.array_equal(M.split_quotas(quota, 5, 1), M.split_quotas(quota, 5, 1))
+    assert np.array_equal(M.split_quotas(quota, np.arange(6), 1), M.split_quotas(quota, np.arange(6), 1))
+
+
+@pytest.mark.parametrize("whole", [10**10, 10**12, 10**15])
+def test_split_of_many_blocks(whole):
+    """Beyond the exact generator's range: whole quotas, no block lost, and shares within a few deviations."""
+    quota = [whole * 6 // 10, whole * 3 // 10, whole // 10, 3]
+    out = M.split_quotas(quota, np.array([0, 10, 20, 40, 80]), 5)
+    assert out.sum(axis=0).tolist() == quota and (out >= 0).all()
+    assert np.abs(out.sum(axis=1) - sum(quota) * np.array([10, 10, 20, 40]) / 80).max() <= 3
+    assert np.abs(out[:, 0] / out.sum(axis=1) - 0.6).max() < 6 / np.sqrt(whole / 8)
+
+
+def test_drawn_blocks_have_the_right_spread(monkeypatch):
+    """The normal limit against the exact generator."""
+    draw = lambda: np.array([M.drawn_blocks(np.random.default_rng(i), 60_000, 40_000, 30_000) for i in range(4000)])
+    exact = draw()
+    monkeypatch.setattr(M, "EXACT_BLOCKS", 0)
+    limit = draw()
+    assert abs(exact.mean() - limit.mean()) < 8 and abs(exact.std() / limit.std() - 1) < 0.06
+
+
+@pytest.mark.parametrize("shards,pieces", [(40, 40), (40, 7), (40, 1)])
+def test_tree_can_be_drawn_in_parts(shards, pieces):
+    quota = [500, 90, 1]
+    bounds = np.array([i * shards // pieces for i in range(pieces + 1)])
+    upper = M.split_quotas(quota, bounds, 9)
+    lower = [M._lower_part(tuple(q.tolist()), int(a), int(b), 9) for q, a, b in zip(upper, bounds, bounds[1:])]
+    assert [p[-1].tolist() for p in lower] == upper.tolist() and sum(map(len, lower)) == shards
+
+
+@pytest.mark.parametrize("n", [1, 2, 3, 5, 64, 1000, 4097])
+def test_permutation(n):
+    one, two = M.permuted(np.arange(n), n, 1), M.permuted(np.arange(n), n, 2)
+    assert sorted(one.tolist()) == list(range(n)) and np.array_equal(one, M.permuted(np.arange(n), n, 1))
+    if n > 60:
+        assert (one != two).mean() > 0.9
+        assert len(np.unique(np.diff(one) % n)) > n / 3  # no arithmetic progression
+    assert (M.permuted(np.array([0, 10**11, 10**12 - 1]), 10**12, 4) < 10**12).all()
 
 
 def test_quotas():
@@ -29,7 +67,7 @@ def docs(spark):
 TARGETS = [("news", 0.5, 1), ("web", 0.3, 3), ("wiki", 0.15, 2), ("none", 0.05, 2)]
 
 
-def test_mix(spark, docs):
+def test_mix(spark, docs, monkeypatch):
     targets = spark.createDataFrame(TARGETS, "source string, target_share double, max_repeats int")
     rows = M.mixed_sources(docs, targets, block_tokens=64, shard_tokens=4000).collect()
     most = {s: r for s, _, r in TARGETS}
@@ -47,6 +85,17 @@ def test_mix(spark, docs):
     assert all(sorted(p) == list(range(1, len(p) + 1)) for p in at.values()) and len(at) > 3
     sizes = [sum(r.n_tokens for r in rows if r.shard == s) for s in at]
     assert max(sizes) < 1.5 * min(sizes)
+    # the lower part of the tree drawn by the workers: other places, the same properties
+    monkeypatch.setattr(M, "TREE_ENTRIES", 9)
+    parts = M.mixed_sources(docs, targets, block_tokens=64, shard_tokens=4000).collect()
+    assert sorted((r.source, r.id, r.copy) for r in parts) == sorted((r.source, r.id, r.copy) for r in rows)
+    by_shard = {}
+    for r in parts:
+        by_shard.setdefault(r.shard, []).append(r)
+    assert set(by_shard) == set(at) and all(sorted(r.position for r in own) == list(range(1, len(own) + 1)) for own in by_shard.values())
+    sizes = [sum(r.n_tokens for r in own) for own in by_shard.values()]
+    assert max(sizes) < 1.6 * min(sizes)
+    monkeypatch.undo()
     again = M.mixed_sources(docs.repartition(7), targets, block_tokens=64, shard_tokens=4000).collect()
     assert sorted(map(tuple, again)) == sorted(map(tuple, rows))
     report = {r.source: r for r in M.source_shares(M.mixed_sources(docs, targets), targets).collect()}

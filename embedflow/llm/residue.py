@@ -66,7 +66,7 @@ BUCKETS = 1 << 20
 MARKS = {"\x01r": 0, "\x01b": 1, "\x01f": 2}
 THREE_MARKS, FOUR_MARKS, NUMBER, FIRST_BUCKET = 3, 4, 5, 8
 #: Texts are coded together up to so many characters
-CHUNK = 1 << 20
+CHUNK = 1 << 18
 _BASE, _MIX = 0x5851F42D4C957F2D, 0x9E3779B97F4A7C15
 
 
@@ -164,7 +164,7 @@ def coded(ps: list[str]) -> tuple[np.ndarray, np.ndarray]:
     out[two] = _bucket(c[two].astype(np.uint64) << np.uint64(21) | c[two + 1])
     out[one] = _bucket(c[one].astype(np.uint64))
     found = np.flatnonzero(out >= 0)
-    return out[found], np.searchsorted(np.flatnonzero(c == 10), found)
+    return out[found], np.searchsorted(np.flatnonzero(c == 10), found).astype(np.int32)
 
 
 def bucket_of(feature: str) -> int:
@@ -223,15 +223,15 @@ class Coded:
             size += len(p) + 1
             if size >= CHUNK or k == len(flat) - 1:
                 bucket, passage = coded(flat[start : k + 1])
-                parts.append((bucket, passage + start))
+                parts.append((bucket, passage + np.int32(start)))
                 start, size = k + 1, 0
-        bucket, passage = (np.concatenate(x) for x in zip(*parts)) if parts else (np.zeros(0, np.int32), np.zeros(0, np.int64))
+        bucket, passage = (np.concatenate(x) for x in zip(*parts)) if parts else (np.zeros(0, np.int32), np.zeros(0, np.int32))
         return Coded(flat, record, np.diff(record, prepend=-1) > 0, bucket, passage)
 
     def without(self, left_out: np.ndarray) -> "Coded":
         """The passages that aren't left out."""
         kept = np.flatnonzero(~left_out)
-        number = np.cumsum(~left_out) - 1
+        number = (np.cumsum(~left_out) - 1).astype(np.int32)
         own = ~left_out[self.passage]
         record = self.record[kept]
         return Coded([self.passages[k] for k in kept.tolist()], record, np.diff(record, prepend=-1) > 0, self.bucket[own], number[self.passage[own]])

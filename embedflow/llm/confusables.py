@@ -6,6 +6,7 @@ again. Texts with equal skeletons show the same characters in the same order.
 
 from __future__ import annotations
 
+import re
 import unicodedata
 from collections.abc import Iterable, Iterator
 
@@ -19,8 +20,9 @@ from embedflow.runtime import materialize
 
 # Letters of other scripts with the shape of a Latin letter, prototype first
 LATIN_SHAPES = [
-    "AΑА", "BΒВ", "CСϹ", "EΕЕ", "HΗН", "IΙІӀ", "JЈͿ", "KΚКK", "MΜМ", "NΝ", "OΟО", "PΡР", "QԚ", "SЅ", "TΤТ", "WԜ", "XΧХ", "YΥҮ", "ZΖ",
-    "aаɑ", "cсϲ", "dԁ", "eе", "hһ", "iі", "jјϳ", "oοоօ", "pрρ", "qԛ", "sѕ", "vѵ", "wԝ", "xх", "yуү",
+    "AΑАᎪꓮ", "BΒВᏴꓐ", "CСϹᏟꓚⲤ", "DᎠꓓ", "EΕЕᎬꓰ", "FϜꓝ", "GԌᏀꓖ", "HΗНᎻꓧⲎ", "IΙІӀꓲⲒ", "JЈͿᎫꓙ", "KΚКKᏦꓗⲔ", "LԼᏞꓡ", "MΜМϺᎷꓟⲘ", "NΝꓠⲚ",
+    "OΟОՕꓳⲞ", "PΡРᏢꓑⲢ", "QԚ", "RᎡᏒꓣ", "SЅՏᏚꓢ", "TΤТᎢꓔⲦ", "UՍꓴ", "VᏙꓦ", "WԜᎳꓪ", "XΧХꓫⲬ", "YΥҮᎽꓬⲨ", "ZΖᏃꓜ",
+    "aаɑ", "cсϲᴄⲥ", "dԁ", "eе", "gɡց", "hһհ", "iі", "jјϳյ", "lӏ", "nո", "oоοօᴏⲟ", "pрρⲣ", "qԛզ", "sѕꜱ", "uսᴜ", "vѵνᴠ", "wԝᴡ", "xх", "yуү", "zᴢ",
 ]
 # Kana with the shape of an ideograph, and the one kana whose two scripts look alike, prototype first
 KANA_SHAPES = ["カ力", "エ工", "ロ口", "タ夕", "ト卜", "ハ八", "ニ二", "ヘへ"]
@@ -35,7 +37,10 @@ RADICALS = {
 # Dashes with the shape of the hyphen
 HYPHENS = "‐‑﹣－⁃"
 # Ranges of code points that show nothing (joiners and emoji selectors are treated apart)
-INVISIBLE = [(0xAD, 0xAD), (0x34F, 0x34F), (0x61C, 0x61C), (0x17B4, 0x17B5), (0x180B, 0x180F), (0x200B, 0x200C), (0x200E, 0x200F), (0x202A, 0x202C), (0x2060, 0x206F), (0xFE00, 0xFE0D), (0xFEFF, 0xFEFF), (0xFFF9, 0xFFFB)]
+INVISIBLE = [
+    (0x00, 0x08), (0x0E, 0x1F), (0x7F, 0x84), (0x86, 0x9F), (0xAD, 0xAD), (0x34F, 0x34F), (0x61C, 0x61C), (0x115F, 0x1160), (0x17B4, 0x17B5), (0x180B, 0x180F), (0x200B, 0x200C), (0x200E, 0x200F),
+    (0x202A, 0x202C), (0x2060, 0x206F), (0x3164, 0x3164), (0xFE00, 0xFE0D), (0xFEFF, 0xFEFF), (0xFFA0, 0xFFA0), (0xFFF9, 0xFFFB), (0x1D173, 0x1D17A), (0xE0000, 0xE001F), (0xE0080, 0xE01EF),
+]
 
 
 def prototypes() -> dict[int, str | None]:
@@ -45,7 +50,15 @@ def prototypes() -> dict[int, str | None]:
         form = unicodedata.decomposition(chr(cp))
         if form.startswith(("<wide>", "<narrow>")) or (form.startswith("<compat>") and cp < 0x3000):
             table[cp] = unicodedata.normalize("NFKD", chr(cp))
-    for cp in (0xA0, *range(0x2000, 0x200B), 0x202F, 0x205F, 0x3000):
+    for cp in (*range(0x2100, 0x2150), *range(0xFB20, 0xFB2A), *range(0x1D400, 0x1D800), *range(0x1FBF0, 0x1FBFA)):  # letters and digits in another type
+        if unicodedata.decomposition(chr(cp)).startswith("<font>"):
+            table[cp] = unicodedata.normalize("NFKD", chr(cp))
+    for cp in (*range(0x1C4, 0x1CD), *range(0x1F1, 0x1F4), *range(0xFB00, 0xFB05), 0xFB06):  # letters joined in one character
+        table[cp] = unicodedata.normalize("NFKD", chr(cp))
+    for cp in range(0x2160, 0x2180):  # numerals in the shape of a single letter
+        if len(form := unicodedata.normalize("NFKD", chr(cp))) == 1:
+            table[cp] = form
+    for cp in (0x09, 0xA0, *range(0x2000, 0x200B), 0x202F, 0x205F, 0x3000):
         table[cp] = " "
     for first, last in INVISIBLE:
         table |= dict.fromkeys(range(first, last + 1))
@@ -60,23 +73,25 @@ def prototypes() -> dict[int, str | None]:
 _table = prototypes()
 _pictures = r"[\p{Extended_Pictographic}\p{Emoji_Modifier}\p{Regional_Indicator}]"
 JOINER, TEXT_STYLE, EMOJI_STYLE, KEYCAP = "\u200d", "\ufe0e", "\ufe0f", "\u20e3"
+FLAG, TAG = "\U0001f3f4", "[\U000e0020-\U000e007f]"
+_may_be_idle = re.compile(f"[{JOINER}{TEXT_STYLE}{EMOJI_STYLE}]|{TAG}")
 _idle = regex.compile(
     "|".join(
         [
             rf"(?<!{_pictures}{EMOJI_STYLE}?){JOINER}", rf"{JOINER}(?!{_pictures})",
             rf"(?<![\p{{Extended_Pictographic}}#*0-9]){EMOJI_STYLE}", rf"(?<=[#*0-9]){EMOJI_STYLE}(?!{KEYCAP})",
-            rf"(?<!\p{{Extended_Pictographic}}){TEXT_STYLE}",
+            rf"(?<!\p{{Extended_Pictographic}}){TEXT_STYLE}", rf"(?<!{FLAG}{TAG}*){TAG}",
         ]
     )
 )
 
 
 def skeleton(text: str) -> str:
-    """The text in prototypes, decomposed. Joiners and selectors stay inside emoji, where they change what is seen."""
-    if text.isascii():
+    """The text in prototypes, decomposed. Joiners, selectors and tags stay inside emoji, where they change what is seen."""
+    if text.isascii() and text.isprintable():
         return text
     text = unicodedata.normalize("NFD", text).translate(_table)
-    if JOINER in text or TEXT_STYLE in text or EMOJI_STYLE in text:
+    if _may_be_idle.search(text):
         text = _idle.sub("", text)
     return unicodedata.normalize("NFD", text)
 

@@ -16,11 +16,23 @@ DIFFERENT = [
 ]
 
 
+# Code points that show nothing, blanks, letters of other scripts and in another type
+MORE = [
+    *[(f"a{c}b", "ab") for c in "\u3164\u115f\u1160\uffa0\U000e0100\U000e01ef\U000e0001\U000e0041\U0001d173\u180e\x01\x7f\x9f"],
+    ("a\tb", "a b"), ("\t", "\u3000"), ("ɡo", "go"), ("νet", "vet"), ("ոo", "no"), ("հi", "hi"), ("fӏat", "flat"), ("ᎪᏢᎢ", "APT"), ("ꓐꓳꓫ", "BOX"), ("Ⲕⲟ", "Ko"),
+    ("𝐇𝖾𝓁𝔩𝕠", "Hello"), ("𝟕𝟟", "77"), ("𝚨", "A"), ("ℝ", "R"), ("Ⅹ", "X"), ("ﬁn", "fin"), ("Ǆ", "DŽ"), ("\u3164", ""), ("🏴x\U000e0067", "🏴x"),
+]
+SAME += MORE
+
+
 @pytest.mark.parametrize("a,b", SAME)
 def test_same_look(a, b):
     assert C.skeleton(a) == C.skeleton(b)
 
 
+DIFFERENT += [("a\nb", "a b"), ("🏴\U000e0067\U000e0062\U000e007f", "🏴\U000e0067\U000e0073\U000e007f"), ("🏴\U000e0067\U000e007f", "🏴"), ("З", "3"), ("α", "a"), ("ı", "i"), ("ⅱ", "ii"), ("𝐇", "h"), ("ﬅ", "st")]
+
+
 @pytest.mark.parametrize("a,b", DIFFERENT)
 def test_different_look(a, b):
     assert C.skeleton(a) != C.skeleton(b)

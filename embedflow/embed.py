@@ -6,18 +6,24 @@ semi-join before it: Catalyst doesn't push one below.
 
 from __future__ import annotations
 
+import atexit
+import shutil
+import tempfile
 from functools import lru_cache
+from pathlib import Path
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from embedflow.runtime import is_local
 from embedflow.spec import EncoderSpec
 
 EMBEDDED = T.StructType([T.StructField("embedding", T.ArrayType(T.FloatType())), T.StructField("n_tokens", T.IntegerType()), T.StructField("truncated", T.BooleanType())])
 _runs = None
+_sent: set[tuple[str, str]] = set()
 
 
 def _split(text: str) -> list[str]:
@@ -29,6 +35,35 @@ def _split(text: str) -> list[str]:
     return _runs.findall(text)
 
 
+def _shipped_name(path: str) -> str:
+    from embedflow.functions.text import fnv1a
+
+    return f"{fnv1a(path.encode()):016x}-{Path(path).name}"
+
+
+def ship_checkpoint(spark: SparkSession, spec: EncoderSpec) -> None:
+    """Sends weights and tokenizer to all workers, once a session; they are opened there, not at the driver's path."""
+    for path in filter(None, (spec.model_path, spec.tokenizer_path)):
+        key = (spark.sparkContext.applicationId, path)
+        if key not in _sent:
+            _sent.add(key)
+            link = Path(tempfile.mkdtemp(prefix="embedflow-ship-")) / _shipped_name(path)
+            link.symlink_to(Path(path).resolve())  # two checkpoints have files of the same name
+            spark.sparkContext.addFile(str(link))
+            shutil.rmtree(link.parent) if is_local(spark) else atexit.register(shutil.rmtree, link.parent, True)
+
+
+def _here(path: str) -> str:
+    """The worker's own copy of a shipped file, or the path itself where nothing was shipped."""
+    from pyspark import SparkFiles
+
+    try:
+        own = SparkFiles.get(_shipped_name(path))
+    except Exception:  # no session and no worker
+        return path
+    return own if Path(own).exists() else path
+
+
 class Tokenizer:
     """The stand-in of functions.text, or a tokenizer.json; both cut at the limit, special tokens included."""
 
@@ -37,7 +72,7 @@ class Tokenizer:
         if spec.tokenizer_path:
             from tokenizers import Tokenizer as Real
 
-            self.real = Real.from_file(spec.tokenizer_path)
+            self.real = Real.from_file(_here(spec.tokenizer_path))
             self.real.enable_truncation(self.limit)
             self.real.no_padding()
 
@@ -66,8 +101,16 @@ def _worker(spec: EncoderSpec):
     from embedflow.encoder import Encoder
     from embedflow.spec import named_weights, quantized_weights, read_safetensors, synthetic_weights
 
-    weights = named_weights(read_safetensors(spec.model_path), spec.config) if spec.model_path else synthetic_weights(spec.config)
-    return Tokenizer(spec), Encoder(spec.config, quantized_weights(weights, spec.options.quantize), spec.options.precision)
+    weights = named_weights(read_safetensors(_here(spec.model_path)), spec.config) if spec.model_path else synthetic_weights(spec.config)
+    encoder = Encoder(spec.config, quantized_weights(weights, spec.options.quantize), spec.options.precision)
+    check_output(encoder(np.zeros((1, 2), np.int64), np.ones((1, 2), np.int64)), (1, 2, spec.config.hidden))
+    return Tokenizer(spec), encoder
+
+
+def check_output(hidden: np.ndarray, shape: tuple[int, int, int]) -> None:
+    """Refuses an encoder whose output isn't rows x length x the width of its configuration."""
+    if hidden.shape != shape or not np.isfinite(hidden).all():
+        raise ValueError(f"the encoder gives {hidden.shape}, not finite values of {shape}")
 
 
 def embed_batch(texts: list[str], spec: EncoderSpec) -> tuple[np.ndarray, list[int], list[bool]]:
@@ -99,6 +142,8 @@ def embed_batch(texts: list[str], spec: EncoderSpec) -> tuple[np.ndarray, list[i
 def embed(text: Column | str, spec: EncoderSpec = EncoderSpec()) -> Column:
     """struct<embedding, n_tokens, truncated>; null for a null text. The empty text is embedded."""
     spec.config.checked(spec.options.max_seq_length)
+    if (spec.model_path or spec.tokenizer_path) and (spark := SparkSession.getActiveSession()):
+        ship_checkpoint(spark, spec)
 
     @F.pandas_udf(EMBEDDED)
     def run(texts: pd.Series) -> pd.DataFrame:

@@ -6,16 +6,18 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from embedflow.functions import text as T
-from embedflow.operators.running import position
+from embedflow.operators.running import BUCKET_ROWS, buckets, position
 
 
-def length_batches(lengths: DataFrame, id_col: str, n_col: str = "n_tokens", batch_size: int = T.BATCH_SIZE, bucket_rows: int = 65_536) -> DataFrame:
+def length_batches(lengths: DataFrame, id_col: str, n_col: str = "n_tokens", batch_size: int = T.BATCH_SIZE, bucket_rows: int = BUCKET_ROWS) -> DataFrame:
     """Adds batch and pos: rows in the order of length, ties by id, in batches of batch_size.
 
-    The order is global without a global sort: rows are counted below each length and id range, then ordered within.
+    The order is global without a global sort: rows are counted below each length, below each id range within a
+    length, then ordered within. A range is as wide as bucket_rows rows need on average, so that sparse ids don't get
+    a range each.
     """
-    bucket = F.struct(F.col(n_col), F.floor(F.col(id_col) / bucket_rows))
-    ranked = position(lengths, [n_col, id_col], bucket, "_rank")
+    width = lengths.agg(F.greatest(F.lit(1.0), (F.max(id_col).cast("double") - F.min(id_col).cast("double") + 1) * bucket_rows / F.count("*")).alias("w")).scalar()
+    ranked = position(lengths, [n_col, id_col], [F.col(n_col), *buckets(F.col(id_col), width)], "_rank")
     size = max(1, batch_size)
     return ranked.withColumn("batch", F.floor(F.col("_rank") / size)).withColumn("pos", (F.col("_rank") % size).cast("int")).drop("_rank")
 

@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from embedflow.operators.running import position, running_sum
+from embedflow.operators.running import BUCKET_ROWS, buckets, position, running_sum
 
 # Unicode White_Space
 WHITE_SPACE = "\t\n\x0b\x0c\r \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
@@ -89,17 +89,16 @@ def parse_lines(lines: DataFrame, line_col: str = "line") -> DataFrame:
     return lines.select(*kept, parse_udf(F.col(f"`{line_col}`")).alias("_p")).select(*kept, "_p.*")
 
 
-def with_batches(lines: DataFrame, order_col: str = "line_no", stream_col: str | None = None, is_end: Column | None = None, bucket_rows: int = 65_536) -> DataFrame:
+def with_batches(lines: DataFrame, order_col: str = "line_no", stream_col: str | None = None, is_end: Column | None = None, bucket_rows: int = BUCKET_ROWS) -> DataFrame:
     """Adds batch_no: the number of batch ends before a line, within its stream; order_col is a whole number."""
     end = F.coalesce((F.col("kind") == "flush") if is_end is None else is_end, F.lit(False)).cast("long")
-    bucket = F.floor(F.col(order_col) / bucket_rows)
-    out = running_sum(lines.drop("batch_no"), end, [order_col], bucket, "batch_no", [stream_col] if stream_col else [])
+    out = running_sum(lines.drop("batch_no"), end, [order_col], buckets(F.col(order_col), bucket_rows), "batch_no", [stream_col] if stream_col else [])
     return out.withColumn("batch_no", F.col("batch_no").cast("int"))
 
 
-def with_chunks(records: DataFrame, size: int = 1024, order_col: str = "line_no", by: tuple[str, ...] = ("batch_no",), bucket_rows: int = 65_536) -> DataFrame:
+def with_chunks(records: DataFrame, size: int = 1024, order_col: str = "line_no", by: tuple[str, ...] = ("batch_no",), bucket_rows: int = BUCKET_ROWS) -> DataFrame:
     """Adds index, the position of a record in its batch, and chunk_no: batches in runs of `size`."""
-    out = position(records, [order_col], F.floor(F.col(order_col) / bucket_rows), "index", by)
+    out = position(records, [order_col], buckets(F.col(order_col), bucket_rows), "index", by)
     return out.withColumn("index", F.col("index").cast("int")).withColumn("chunk_no", F.floor(F.col("index") / size).cast("int"))
 
 

@@ -22,6 +22,18 @@ def wanted(queries: DataFrame) -> DataFrame:
     return candidates(queries).select("doc_id").where("doc_id IS NOT NULL").distinct()
 
 
+def met_in_blocks(rows: DataFrame, row_id: str, queries: DataFrame, query_id: str, block_rows: int = 65_536, block_queries: int = 4096) -> DataFrame:
+    """Every query with every row: for a stated query set. Rows and queries are cut by hash into blocks of the given sizes,
+    or smaller ones that keep all cores busy; each row goes once to each block of queries and each query to each block of rows."""
+    row_blocks = max(rows.sparkSession.sparkContext.defaultParallelism * 2, -(-rows.count() // block_rows))
+    query_blocks = max(1, -(-queries.count() // block_queries))
+    block = lambda c, n: F.pmod(F.xxhash64(c), F.lit(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    left = rows.withColumn("_r", block(row_id, row_blocks)).withColumn("_q", every(query_blocks))
+    right = queries.withColumn("_q", block(query_id, query_blocks)).withColumn("_r", every(row_blocks))
+    return left.join(right, ["_r", "_q"]).drop("_r", "_q")
+
+
 def ranked(scored: DataFrame, query_col: str, score: Column, tie: list[Column | str], depth: int | None = None) -> DataFrame:
     """Adds rank, from 1, by falling score; equal scores in the order of tie."""
     out = scored.withColumn("rank", F.row_number().over(Window.partitionBy(query_col).orderBy(score.desc(), *tie)))
@@ -60,10 +72,23 @@ def parity(a: DataFrame, b: DataFrame, key: str, vector: str, threshold: float)
     return x.select(key, F.round("d", 6).alias("distance"), F.round(F.array_max("apart"), 6).alias("worst"), F.round(V.total(F.col("apart")) / F.size("apart"), 6).alias("mean"), "non_finite", F.coalesce(fails, F.lit(True)).alias("fails"))
 
 
-def spread(values: DataFrame, by: str, value: str, flag_above: float = 0.25) -> DataFrame:
-    """(by, n, least, median, lower_median, most, noisy): the interpolated median and the element at n div 2."""
-    both = values.groupBy(by).agg(F.count(value).alias("n"), F.min(value).alias("least"), F.expr(f"percentile({value}, 0.5)").alias("median"), F.max(value).alias("most"))
-    at = values.where(F.col(value).isNotNull()).join(both.select(by, "n"), by)
-    at = at.withColumn("_r", F.row_number().over(Window.partitionBy(by).orderBy(value))).where(F.col("_r") == F.floor(F.col("n") / 2) + 1)
-    lower = at.select(by, F.col(value).alias("lower_median"))
-    return both.join(lower, by).select(by, "n", "least", "median", "lower_median", "most", ((F.col("most") - F.col("least")) / F.col("median") > flag_above).alias("noisy"))
+def spread(values: DataFrame, by: str, value: str, flag_above: float = 0.25, around: float = 5e-5) -> DataFrame:
+    """(by, n, least, median, lower_median, most, noisy): the interpolated median and the element at n div 2.
+
+    Both are exact. Sketches say between which values they lie; what is below is counted, and only the distinct values
+    between are ordered, about a 2 * around part of a group: the values of a group never meet in one task.
+    """
+    known = values.where(F.col(value).isNotNull()).select(F.col(by).alias("_g"), F.col(value).alias("_x"))
+    ends = F.percentile_approx("_x", F.array(F.lit(0.5 - around), F.lit(0.5 + around)), F.lit(round(5 / around)))
+    facts = known.groupBy("_g").agg(F.count("*").alias("n"), F.min("_x").alias("least"), F.max("_x").alias("most"), ends.alias("_ends"))
+    facts = facts.withColumn("_r1", F.floor((F.col("n") - 1) / 2) + 1).withColumn("_r2", F.floor(F.col("n") / 2) + 1)
+    counted = known.join(facts.select(F.col("_g").alias("_f"), F.col("_ends")[0].alias("_lo"), F.col("_ends")[1].alias("_hi")), F.col("_g").eqNullSafe(F.col("_f")))
+    counts = counted.groupBy("_g", F.when(F.col("_x") < F.col("_lo"), 0).when(F.col("_x") <= F.col("_hi"), 1).otherwise(2).alias("_side"), F.when(F.col("_x").between(F.col("_lo"), F.col("_hi")), F.col("_x")).alias("_v")).agg(F.count("*").alias("_c"))
+    upto = counts.where("_side < 2").withColumn("_upto", F.sum("_c").over(Window.partitionBy("_g").orderBy("_side", "_v")))
+    placed = upto.where("_side = 1").join(facts.select(F.col("_g").alias("_f"), "_r1", "_r2"), F.col("_g").eqNullSafe(F.col("_f")))
+    at = lambda r: F.min(F.when(F.col("_upto") >= F.col(r), F.col("_v")))
+    middle = placed.groupBy("_g").agg(at("_r1").alias("_m1"), at("_r2").alias("lower_median")).withColumnRenamed("_g", "_f")
+    joined = facts.join(middle, F.col("_g").eqNullSafe(F.col("_f")))
+    median = F.col("_m1") + (F.col("lower_median") - F.col("_m1")) * F.when(F.col("_r1") == F.col("_r2"), 0.0).otherwise(0.5)
+    out = joined.select(F.col("_g").alias(by), "n", "least", median.alias("median"), "lower_median", "most")
+    return out.withColumn("noisy", (F.col("most") - F.col("least")) / F.col("median") > flag_above)

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from embedflow.functions import vectors as V
 from embedflow.operators import protocol as P
+from embedflow.operators.running import buckets, position
 from embedflow.plans.registry import query, table
 from embedflow.sources import lines as L
 
@@ -77,10 +78,8 @@ def unshaped_texts(spark, d):
 
 @query(f"SELECT line_no, CAST(row_number() OVER (ORDER BY line_no) - 1 AS BIGINT) AS id FROM input_lines WHERE NOT {BLANK_SQL}")
 def numbered_texts(spark, d):
-    from embedflow.operators.running import position
-
     lines = table(spark, d, "input_lines").where(~P.is_blank(F.col("line"))).select("line_no")
-    return position(lines, ["line_no"], F.floor(F.col("line_no") / 65_536), "id")
+    return position(lines, ["line_no"], buckets(F.col("line_no")), "id")
 
 
 @query(f"""SELECT out_id, md5('{{"id":' || id_json || ',"embedding":' || {MICRO_SQL} || CASE WHEN report_tokens THEN coalesce(',"n_tokens":' || n_tokens || ',"truncated":' || truncated, '') ELSE '' END || '}}') AS line_md5

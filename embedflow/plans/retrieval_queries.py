@@ -65,13 +65,10 @@ SCORED_SQL = "SELECT q.vec_id AS q, t.vec_id AS d, q.label = t.label AS same, ro
 
 
 def scored(spark, d):
-    """A stated query set against all rows, in blocks: each block of rows meets all queries by a key."""
+    """A stated query set against all rows, in blocks of both, each pair of blocks in a task of its own."""
     e = emb(spark, d)
-    q = e.where("vec_id % 100 = 0").select(F.col("vec_id").alias("q"), F.col("embedding").alias("qv"), F.col("label").alias("ql"))
-    blocks = 16
-    q = q.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
-    t = e.withColumn("block", F.pmod("vec_id", F.lit(blocks)).cast("int"))
-    s = t.join(q, "block").where("vec_id <> q")
+    queries = e.where("vec_id % 100 = 0").select(F.col("vec_id").alias("q"), F.col("embedding").alias("qv"), F.col("label").alias("ql"))
+    s = R.met_in_blocks(e, "vec_id", queries, "q").where("vec_id <> q")
     return s.select("q", F.col("vec_id").alias("d"), (F.col("ql") == F.col("label")).alias("same"), F.round(V.dot(F.col("qv"), F.col("embedding")), 6).alias("score"))
 
 

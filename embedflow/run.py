@@ -2,17 +2,18 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterable
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from embedflow.answers import in_order, output_lines, summary
 from embedflow.embed import embed_records
 from embedflow.operators import protocol as P
 from embedflow.runtime import materialize, spread
 from embedflow.sources import lines as L
 from embedflow.spec import EncoderSpec
-from embedflow.streaming.requests import summary
 
 
 @dataclass(frozen=True)
@@ -30,33 +31,16 @@ class RunResult:
         return 2 if self.skipped else 0
 
 
-def output_lines(records: DataFrame, parsed: DataFrame, spec: EncoderSpec, keys: tuple[str, ...] = ("file", "batch_no")) -> DataFrame:
-    """(keys, line_no, value): a line for each record and an empty one for each batch end; or, in the openai format,
-    a document for each batch, also for an empty one, and one empty document where there is no line at all."""
-    o = spec.options
-    if o.format == "openai":
-        own = P.with_chunks(records, by=keys)
-        batches = parsed.select(*keys).distinct()
-        if batches.isEmpty():
-            batches = parsed.sparkSession.createDataFrame([(None, 0)], parsed.select(*keys).schema)
-        docs = L.openai_documents(batches.withColumn("model", F.lit(spec.label)), own, keys)
-        return docs.select(*keys, F.lit(0).alias("line_no"), F.col("document").alias("value"))
-    facts = (F.col("n_tokens"), F.col("truncated")) if o.report_tokens else ()
-    lines = records.select(*keys, "line_no", L.jsonl_line(F.col("id_json"), F.col("embedding"), *facts).alias("value"))
-    return lines.unionByName(parsed.where("kind = 'flush'").select(*keys, "line_no", F.lit("").alias("value")))
-
-
 def run_lines(lines: DataFrame, out: str, spec: EncoderSpec = EncoderSpec()) -> RunResult:
     """lines: (file, line_no, line). Writes out/vectors (text), out/skipped and returns the summary.
 
     Each record is embedded once: the vectors are kept as a table before they are written and counted. The output
-    of an input file stays together and in its order, as its batch ends mean nothing elsewhere.
+    parts are ranges of the input's order: read one after the other they hold each file's answers in its order.
     """
     parsed = materialize(P.with_batches(P.parse_lines(lines), stream_col="file"), "parsed")
     todo = parsed.where("kind = 'record'").select("file", "batch_no", "line_no", "id_json", "text")
     records = materialize(embed_records(spread(todo, "line_no"), spec), "records")
-    written = output_lines(records, parsed, spec).repartition("file").sortWithinPartitions("file", "batch_no", "line_no")
-    written.select("value").write.mode("overwrite").text(f"{out}/vectors")
+    in_order(output_lines(records, parsed, spec)).write.mode("overwrite").text(f"{out}/vectors")
     P.quarantine(parsed).select("file", "line_no", "line", "skip_reason", "message").write.mode("overwrite").parquet(f"{out}/skipped")
     return RunResult(**summary(parsed, records, spec).first().asDict())
 
@@ -65,6 +49,65 @@ def run_files(spark: SparkSession, path: str, out: str, spec: EncoderSpec = Enco
     return run_lines(L.read_lines(spark, path), out, spec)
 
 
+#: Records of a batch that are embedded at a time while lines come in one by one
+CHUNK = 1024
+
+
+def run_stream(spark: SparkSession, source: Iterable[bytes], answer: Callable[[str], None], skip: Callable[[str], None], spec: EncoderSpec = EncoderSpec()) -> RunResult:
+    """Lines that come in one by one, such as standard input, each batch answered at its end; a \\n ends a line.
+
+    At most CHUNK records wait at a time; an openai document, one request's answer, is put together from its chunks.
+    Bytes that aren't UTF-8 are an error.
+    """
+    o, held, items = spec.options, [], []
+    n = {"n_in": 0, "n_out": 0, "skipped": 0, "truncated": 0}
+    documents = tokens = 0
+
+    def embed_held() -> None:
+        nonlocal tokens
+        if held:
+            df = spark.createDataFrame([(i, *x) for i, x in enumerate(held)], "i int, id_json string, text string")
+            e = embed_records(df, spec)
+            facts = (F.col("n_tokens"), F.col("truncated")) if o.report_tokens else ()
+            line = L.openai_item(F.col("i") + len(items), F.col("embedding")) if o.format == "openai" else L.jsonl_line(F.col("id_json"), F.col("embedding"), *facts)
+            for r in e.select("i", line.alias("line"), "n_tokens", "truncated").orderBy("i").collect():  # a chunk
+                (items.append if o.format == "openai" else answer)(r.line)
+                n["n_out"] += 1
+                n["truncated"] += r.truncated
+                tokens += r.n_tokens
+            held.clear()
+
+    def close_batch() -> None:
+        nonlocal documents, tokens
+        embed_held()
+        if o.format == "openai":
+            usage = {"prompt_tokens": tokens, "total_tokens": tokens}
+            answer(f'{{"object":"list","data":[{",".join(items)}],"model":{P.compact(spec.label)},"usage":{P.compact(usage)}}}')
+            documents += 1
+            items.clear()
+            tokens = 0
+
+    open_batch = False
+    for number, raw in enumerate(source, 1):
+        found = P.parse_line(raw.removesuffix(b"\n").removesuffix(b"\r").decode())
+        n["n_in"] += found.kind != "flush"
+        open_batch = found.kind != "flush"
+        if found.kind == "skip":
+            n["skipped"] += 1
+            skip(f"skip line {number}: {found.skip_reason}")
+        elif found.kind == "flush":
+            close_batch()
+            if o.format == "jsonl":
+                answer("")
+        else:
+            held.append((found.id_json, found.text))
+            if len(held) == CHUNK:
+                embed_held()
+    if open_batch or held or (o.format == "openai" and not documents):
+        close_batch()
+    return RunResult(spec.label, spec.config.hidden if n["n_out"] else 0, **n)
+
+
 def run_texts(spark: SparkSession, texts: list[str], spec: EncoderSpec = EncoderSpec()) -> DataFrame:
     """(id, embedding, n_tokens, truncated, model_tag) of texts given as arguments; nothing is skipped."""
     return embed_records(L.from_arguments(spark, texts), spec).drop("text")

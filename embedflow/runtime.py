@@ -32,11 +32,16 @@ def local_session(cores: int | str = 8, shuffle_partitions: int = 8, **conf: str
     return builder.getOrCreate()
 
 
+def is_local(spark: SparkSession) -> bool:
+    """Whether driver and tasks are one process, and so on one machine."""
+    return spark.sparkContext.master == "local" or spark.sparkContext.master.startswith("local[")
+
+
 def ship(spark: SparkSession) -> SparkSession:
     """Send the package to the executors, unless their Python finds it already (PYTHONPATH, or local mode's folder)."""
     root = Path(__file__).resolve().parent.parent
     known = [Path(p or ".").resolve() for p in os.environ.get("PYTHONPATH", "").split(os.pathsep)]
-    local = spark.sparkContext.master.startswith("local[") and Path.cwd() == root
+    local = is_local(spark) and Path.cwd() == root
     key = (spark.sparkContext.applicationId, str(root))
     if root not in known and not local and key not in _shipped:
         _shipped.add(key)
@@ -54,9 +59,11 @@ def ship(spark: SparkSession) -> SparkSession:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share: spark.checkpoint.dir, or one of our own where it is unset (tests)."""
+    """The folder that all executors share: spark.checkpoint.dir, or, in local mode alone, one of our own where it is unset (tests)."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not found:
+        if not is_local(spark):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         found = tempfile.mkdtemp(prefix="embedflow-")
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")

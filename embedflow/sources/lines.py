@@ -4,34 +4,44 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from embedflow.operators.protocol import is_blank
+from embedflow.operators.running import BUCKET_ROWS, buckets, position
+from embedflow.runtime import materialize
 
 
 def read_lines(spark: SparkSession, path: str) -> DataFrame:
     """(file, line_no, line): lines end at \\n alone, a \\r before it is dropped, a final \\n is no blank line.
 
-    A file is one stream and is numbered from 1. Files are read whole, as a line's number needs all lines before it;
-    many files are read in parallel. Bytes that aren't UTF-8 are an error.
+    A file is one stream and is numbered from 1; large files are read in parts. Bytes that aren't UTF-8 are an error;
+    a byte order mark at the start of a file is dropped.
     """
-    return lines_of(spark.read.format("binaryFile").load(path))
+    return numbered_lines(raw_lines(spark.read.option("lineSep", "\n").text(path)))
 
 
-def lines_of(files: DataFrame) -> DataFrame:
-    """(file, line_no, line) of whole files (path, content)."""
-    parts = F.split(F.expr("validate_utf8(cast(content AS STRING))"), "\n")
-    # the part after the last \n is a line only if it isn't empty
-    kept = F.when(F.element_at(parts, -1) == "", F.slice(parts, 1, F.size(parts) - 1)).otherwise(parts)
-    lines = files.select(F.col("path").alias("file"), F.posexplode(kept).alias("p", "line"))
-    return lines.select("file", (F.col("p") + 1).alias("line_no"), F.regexp_replace("line", "\r$", "").alias("line"))
+def raw_lines(text: DataFrame) -> DataFrame:
+    """(file, part, line) of a text source with lineSep \\n, also of a stream; part is where a line's part of the file begins."""
+    line = F.regexp_replace(F.expr("validate_utf8(value)"), "\r$", "")
+    return text.select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("part"), line.alias("line"))
+
+
+def numbered_lines(raw: DataFrame) -> DataFrame:
+    """(file, line_no, line) of (file, part, line): lines are counted by part, then within it.
+
+    The order within a part is known only while it is read, so that it is written down first: parts may be cut
+    otherwise when they are read again.
+    """
+    seen = materialize(raw.withColumn("_m", F.monotonically_increasing_id()), "lines")
+    out = position(seen, ["_m"], [F.col("part"), F.floor(F.col("_m") / BUCKET_ROWS)], "_n", ["file"])
+    return out.select("file", (F.col("_n") + 1).cast("int").alias("line_no"), "line")
 
 
 def read_texts(spark: SparkSession, path: str) -> DataFrame:
     """(id, text): the non-blank lines of a file, numbered from 0."""
     lines = read_lines(spark, path).where(~is_blank(F.col("line")))
-    return lines.select((F.row_number().over(Window.partitionBy("file").orderBy("line_no")) - 1).alias("id"), F.col("line").alias("text"))
+    return position(lines, ["line_no"], buckets(F.col("line_no")), "id", ["file"]).select("id", F.col("line").alias("text"))
 
 
 def from_arguments(spark: SparkSession, texts: Sequence[str]) -> DataFrame:
@@ -56,9 +66,15 @@ def openai_item(index: Column, embedding: Column) -> Column:
     return F.concat(F.lit('{"object":"embedding","index":'), index.cast("string"), F.lit(',"embedding":'), number_list(embedding), F.lit("}"))
 
 
+def json_text(text: Column) -> Column:
+    """A text as a JSON string, quoted and escaped."""
+    whole = F.to_json(F.struct(text.alias("t")))
+    return F.substring(whole, F.lit(6), F.length(whole) - 6)
+
+
 def openai_document(items: Column, model: Column, tokens: Column) -> Column:
     n = F.coalesce(tokens, F.lit(0)).cast("string")
-    return F.concat(F.lit('{"object":"list","data":['), items, F.lit('],"model":'), F.concat(F.lit('"'), F.coalesce(model, F.lit("")), F.lit('"')), F.lit(',"usage":{"prompt_tokens":'), n, F.lit(',"total_tokens":'), n, F.lit("}}"))
+    return F.concat(F.lit('{"object":"list","data":['), items, F.lit('],"model":'), json_text(F.coalesce(model, F.lit(""))), F.lit(',"usage":{"prompt_tokens":'), n, F.lit(',"total_tokens":'), n, F.lit("}}"))
 
 
 def openai_documents(batches: DataFrame, records: DataFrame, keys: Sequence[str]) -> DataFrame:

@@ -101,9 +101,15 @@ class EncoderConfig:
         return out
 
 
+def _unique(members: list[tuple[str, object]]) -> dict:
+    if twice := sorted({k for k, _ in members if sum(k == other for other, _ in members) > 1}):
+        raise UnsupportedRequest(f"the configuration names {', '.join(twice)} twice")
+    return dict(members)
+
+
 def config_from_json(text: str) -> EncoderConfig:
-    """Reads both spellings of eps and of theta; collects every reason to refuse before it raises."""
-    raw = json.loads(text)
+    """Reads both spellings of eps and of theta; collects every reason to refuse before it raises. A key may come once only."""
+    raw = json.loads(text, object_pairs_hook=_unique)
     reasons = [f"{k} is set" for k in ("attention_bias", "mlp_bias", "norm_bias") if raw.get(k)]
 
     def theta(kind: str, flat: str) -> float:
@@ -250,9 +256,12 @@ class EncoderSpec:
         """A checkpoint folder: model.safetensors, config.json, tokenizer.json and, at will, 1_Pooling/config.json."""
         root = Path(model_dir)
         config = config_from_json((root / "config.json").read_text()).checked(options.max_seq_length)
+        weights, tokenizer = root / "model.safetensors", Path(tokenizer_path or root / "tokenizer.json")
+        if lacking := [str(p) for p in (weights, tokenizer) if not p.is_file()]:
+            raise FileNotFoundError(f"a checkpoint is its weights and its tokenizer; missing: {', '.join(lacking)}")
         pool = root / "1_Pooling" / "config.json"
         pooling, _ = resolve_pooling(options.pooling, detect_pooling(pool.read_text() if pool.exists() else None))
-        return EncoderSpec(config, options, pooling, str(root / "model.safetensors"), tokenizer_path or str(root / "tokenizer.json"), label or root.name)
+        return EncoderSpec(config, options, pooling, str(weights), str(tokenizer), label or root.name)
 
     def with_options(self, **changes) -> "EncoderSpec":
         options = replace(self.options, **changes)

@@ -5,14 +5,16 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
+from embedflow.answers import in_order, output_lines, summary
 from embedflow.embed import embed_records
 from embedflow.operators import protocol as P
-from embedflow.sources.lines import lines_of
+from embedflow.sources.lines import numbered_lines, raw_lines
 from embedflow.spec import EncoderSpec
 
+__all__ = ["answer", "read_requests", "run_requests", "summary"]
+
 
 def answer(lines: DataFrame, spec: EncoderSpec) -> tuple[DataFrame, DataFrame]:
     """(records with vectors, lines with their kinds) of (file, line_no, line); a file's blank lines end its batches."""
@@ -21,31 +23,31 @@ def answer(lines: DataFrame, spec: EncoderSpec) -> tuple[DataFrame, DataFrame]:
 
 
 def read_requests(spark: SparkSession, folder: str, files_per_trigger: int = 16) -> DataFrame:
-    """(file, line_no, line), as a stream over the files of a folder."""
-    schema = "path string, modificationTime timestamp, length long, content binary"
-    raw = spark.readStream.format("binaryFile").schema(schema).option("maxFilesPerTrigger", files_per_trigger).load(folder)
-    return lines_of(raw)
+    """(file, part, line), as a stream over the files of a folder."""
+    return raw_lines(spark.readStream.option("lineSep", "\n").option("maxFilesPerTrigger", files_per_trigger).text(folder))
 
 
-def run_requests(lines: DataFrame, out: str, checkpoint: str, spec: EncoderSpec = EncoderSpec(), then: Callable[[DataFrame, int], None] | None = None) -> StreamingQuery:
-    """Writes out/records and out/lines, a folder for each epoch, so that an epoch that is run again replaces itself.
+def run_requests(
+    lines: DataFrame, out: str, checkpoint: str, spec: EncoderSpec = EncoderSpec(), then: Callable[[DataFrame, int], None] | None = None, every: str | None = None
+) -> StreamingQuery:
+    """Answers requests; a folder for each epoch, so that an epoch that is run again replaces itself.
 
-    Boundaries are among the lines: an empty request has its line there and no record.
+    out/answers has the answers as text in the options' format: vectors and batch ends, or a document for each batch,
+    also for an empty one. out/records and out/lines are tables; batch ends are among the lines. With `every`, an
+    interval such as "1 second", the query goes on for new files without an end; without, it ends once those there are answered.
     """
 
     def each(batch: DataFrame, epoch: int) -> None:
-        records, parsed = answer(batch, spec)
-        parsed.select("file", "line_no", "batch_no", "kind", "skip_reason").write.mode("overwrite").parquet(f"{out}/lines/epoch={epoch}")
-        records.write.mode("overwrite").parquet(f"{out}/records/epoch={epoch}")
+        records, parsed = answer(numbered_lines(batch), spec)
+        path = lambda kind: f"{out}/{kind}/epoch={epoch}"
+        parsed.select("file", "line_no", "batch_no", "kind", "skip_reason").write.mode("overwrite").parquet(path("lines"))
+        records.write.mode("overwrite").parquet(path("records"))
+        # each record is embedded once: the answers are made from the tables
+        kept, own = (batch.sparkSession.read.schema(df.schema).parquet(path(kind)) for kind, df in (("records", records), ("lines", parsed.select("file", "line_no", "batch_no", "kind", "skip_reason"))))
+        if not own.isEmpty():
+            in_order(output_lines(kept, own, spec)).write.mode("overwrite").text(path("answers"))
         if then is not None:
-            then(batch.sparkSession.read.parquet(f"{out}/records/epoch={epoch}"), epoch)
-
-    return lines.writeStream.foreachBatch(each).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
-
+            then(kept, epoch)
 
-def summary(lines: DataFrame, records: DataFrame, spec: EncoderSpec) -> DataFrame:
-    """One row: model, dim, in, out, skipped, truncated; also for no lines at all."""
-    i = lines.agg(F.count_if(F.col("kind") != "flush").alias("n_in"), F.count_if(F.col("kind") == "skip").alias("skipped"))
-    o = records.agg(F.struct(F.count("*").alias("n_out"), F.count_if("truncated").alias("truncated"))).scalar()
-    dim = F.when(F.col("o.n_out") > 0, spec.config.hidden).otherwise(0)
-    return i.withColumn("o", o).select(F.lit(spec.label).alias("model"), dim.alias("dim"), "n_in", F.col("o.n_out").alias("n_out"), "skipped", F.col("o.truncated").alias("truncated"))
+    trigger = {"processingTime": every} if every else {"availableNow": True}
+    return lines.writeStream.foreachBatch(each).option("checkpointLocation", checkpoint).trigger(**trigger).start()

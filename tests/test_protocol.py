@@ -1,10 +1,11 @@
 import json
+import re
 
 import pytest
 from pyspark.sql import functions as F
 
 from embedflow.operators import protocol as P
-from embedflow.operators.running import position
+from embedflow.operators.running import buckets, position, running_sum
 from embedflow.sources import lines as L
 
 CASES = [
@@ -103,3 +104,39 @@ def test_openai_documents(spark):
     assert out[0][:2] == (2, 7) and [d["index"] for d in out[0][2]["data"]] == [0, 1] and out[0][2]["usage"] == {"prompt_tokens": 7, "total_tokens": 7}
     assert out[1] == (0, 0, {"object": "list", "data": [], "model": "m", "usage": {"prompt_tokens": 0, "total_tokens": 0}})
     assert all("id" not in d for d in out[0][2]["data"]) and out[2][2]["model"] == ""
+
+
+def test_running_sum_in_levels(spark):
+    """Buckets within buckets, a null key, gaps, and negative positions."""
+    df = spark.range(-300, 900).where("id % 7 <> 3").selectExpr("id", "CASE WHEN id % 3 = 0 THEN 'hot' WHEN id % 3 = 1 THEN NULL ELSE concat('k', id % 10) END k", "id % 4 v")
+    levels = [F.floor(F.col("id") / 100), F.floor(F.col("id") / 50), F.floor(F.col("id") / 5)]
+    out = running_sum(df, F.col("v"), ["id"], levels, "s", ["k"])
+    assert out.columns == ["id", "k", "v", "s"]
+    seen = {}
+    for r in sorted(out.collect()):
+        assert r.s == seen.get(r.k, 0)
+        seen[r.k] = seen.get(r.k, 0) + r.v
+    assert position(df.limit(0), ["id"], buckets(F.col("id")), "p").count() == 0
+
+
+def test_no_ordered_pass_over_all_buckets(spark):
+    """Of the three windows only that over the groups of buckets has no key."""
+    plan = position(spark.range(10), ["id"], buckets(F.col("id")), "p")._jdf.queryExecution().optimizedPlan().toString()
+    assert len(re.findall(r"windowspecdefinition\(", plan)) == 3 and len(re.findall(r"windowspecdefinition\(_b0#\w+ ASC", plan)) == 1
+
+
+def test_large_file_is_read_in_parts(spark, tmp_path):
+    lines = [f"{i} " + "x" * (i % 50) for i in range(6000)]
+    (tmp_path / "a.txt").write_text("\n".join(lines), "utf-8")
+    (tmp_path / "b.txt").write_text("\n\n" + "\n".join(lines[:10]) + "\n", "utf-8")
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "9k")
+    try:
+        raw = L.raw_lines(spark.read.option("lineSep", "\n").text(f"{tmp_path}/*.txt"))
+        assert raw.rdd.getNumPartitions() > 10
+        got = {}
+        for r in L.read_lines(spark, f"{tmp_path}/*.txt").collect():
+            got.setdefault(r.file[-5:], []).append((r.line_no, r.line))
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+    assert sorted(got["a.txt"]) == list(enumerate(lines, 1)) and sorted(got["b.txt"]) == list(enumerate(["", "", *lines[:10]], 1))

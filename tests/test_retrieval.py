@@ -1,5 +1,7 @@
 import math
 
+import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from embedflow.operators import inventory as I
@@ -59,3 +61,25 @@ def test_top_k_is_cut_before_the_shuffle(spark):
     s = spark.range(1000).selectExpr("id % 3 AS q", "id AS d", "cast(id AS double) AS x")
     plan = R.ranked(s, "q", F.col("x"), ["d"], 10)._jdf.queryExecution().executedPlan().toString()
     assert plan.count("WindowGroupLimit") == 2
+
+
+@pytest.mark.parametrize("n", [1, 2, 3, 4, 9, 10, 1001, 20_000])
+def test_medians(spark, n):
+    """Both medians are exact, also where half of the values are one, and in a group of a null name."""
+    rng = np.random.default_rng(n)
+    groups = {"a": rng.lognormal(size=n), "b": np.where(rng.random(n) < 0.5, 7.0, rng.random(n) * 14), None: np.full(n, 2.5)}
+    df = spark.createDataFrame([(g, float(v)) for g, values in groups.items() for v in values] + [("a", None), ("empty", None)], "g string, v double")
+    got = {r.g: r for r in R.spread(df.repartition(5), "g", "v").collect()}
+    assert set(got) == set(groups)
+    for g, values in groups.items():
+        r, s = got[g], np.sort(values)
+        assert (r.n, r.least, r.most, r.lower_median) == (n, s[0], s[-1], s[n // 2])
+        assert r.median == pytest.approx(np.median(values), rel=1e-12)
+        assert r.noisy == ((s[-1] - s[0]) / np.median(values) > 0.25)
+
+
+def test_queries_meet_all_rows_in_blocks(spark):
+    rows, queries = spark.range(500).withColumn("x", F.col("id") * 2), spark.range(0, 500, 100).withColumnRenamed("id", "q")
+    got = R.met_in_blocks(rows, "id", queries, "q", block_rows=7, block_queries=2)
+    assert sorted(got.columns) == ["id", "q", "x"] and got.count() == got.distinct().count() == 2500
+    assert R.met_in_blocks(rows.limit(0), "id", queries, "q").count() == R.met_in_blocks(rows, "id", queries.limit(0), "q").count() == 0

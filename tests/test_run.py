@@ -46,7 +46,44 @@ def test_texts(spark):
 def test_command_line(capsys):
     assert cli.main(["--text", "a", "--device", "metal"]) == 3
     assert cli.main(["--text", "a", "--format", "openai", "--report-tokens"]) == 3
-    assert cli.main([]) == 1
+    assert cli.main(["--input", "in.jsonl"]) == 1
+    assert cli.main(["--output", "out"]) == 1
+    assert cli.main(["--text", "a", "--tokenizer-path", "t.json"]) == 1
+    assert cli.main(["--text", "a", "--model-path", "/nowhere"]) == 1
     a = cli.spec_of(cli.parser().parse_args(["--prefix", "q: ", "--pooling", "cls", "--no-normalize", "--shapes", "128,64"]))
     assert (a.options.prefix, a.pooling, a.options.normalize, a.options.shapes) == ("q: ", "cls", False, (64, 128))
     capsys.readouterr()
+
+
+LINES = [b'{"id": 1, "text": "one"}\n', b"\n", b"broken\r\n", b" \t\n", b'{"id": "b", "text": "two words"}\r\n', b'{"id": null, "text": "three"}']
+
+
+def streamed(spark, source, spec):
+    out, err = [], []
+    return run.run_stream(spark, source, out.append, err.append, spec), out, err
+
+
+def test_stream_of_lines(spark, monkeypatch, tmp_path):
+    """As a run over a file with the same lines; batches in chunks, each answered at its end."""
+    spec = EncoderSpec().with_options(report_tokens=True)
+    result, out, err = streamed(spark, LINES, spec)
+    assert (result.n_in, result.n_out, result.skipped, result.truncated, result.dim, result.code) == (4, 3, 1, 0, 64, 2)
+    assert [json.loads(x)["id"] if x else None for x in out] == [1, None, None, "b", None] and err == ["skip line 3: invalid JSON"]
+    (tmp_path / "a.jsonl").write_bytes(b"".join(LINES))
+    run.run_files(spark, str(tmp_path / "a.jsonl"), str(tmp_path / "out"), spec)
+    assert out == [x for f in sorted((tmp_path / "out" / "vectors").glob("part-*")) for x in f.read_text().split("\n")[:-1]]
+    monkeypatch.setattr(run, "CHUNK", 1)
+    assert streamed(spark, LINES, spec)[:2] == (result, out)
+    with pytest.raises(UnicodeDecodeError):
+        streamed(spark, [b"\xff\n"], spec)
+
+
+def test_stream_of_documents(spark, monkeypatch):
+    monkeypatch.setattr(run, "CHUNK", 1)
+    spec = EncoderSpec(options=Options(format="openai"), label='a "model" \\ é')
+    _, out, _ = streamed(spark, LINES, spec)
+    docs = [json.loads(x) for x in out]
+    assert [[x["index"] for x in d["data"]] for d in docs] == [[0], [], [0, 1]] and {d["model"] for d in docs} == {spec.label}
+    assert [d["usage"]["total_tokens"] for d in docs] == [3, 0, 7]
+    assert [json.loads(x)["data"] for x in streamed(spark, [], spec)[1]] == [[]]
+    assert streamed(spark, [], EncoderSpec())[1] == []

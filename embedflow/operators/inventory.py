@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -30,3 +30,20 @@ def prologue(ops: DataFrame, by: str) -> DataFrame:
     lead = F.coalesce(F.min(F.when(F.col("fast"), F.col("seq_no"))), F.count("*") + 1) - 1
     out = ops.groupBy(by).agg(lead.alias("prologue"), F.count_if(~F.col("fast")).alias("_slow"), F.round(F.avg(F.col("fast").cast("double")), 6).alias("ceiling"))
     return out.select(by, "prologue", (F.col("_slow") - F.col("prologue")).alias("stragglers"), "ceiling")
+
+
+def op_totals(ops: DataFrame, by: str, is_constant: Column) -> DataFrame:
+    """(by, total, constants, compute, kinds): constants aren't scheduled, so that they would hide a program's real size."""
+    out = ops.groupBy(by).agg(F.count("*").alias("total"), F.count_if(is_constant).alias("constants"), F.countDistinct("op").alias("kinds"))
+    return out.withColumn("compute", F.col("total") - F.col("constants"))
+
+
+def placement_changes(a: DataFrame, b: DataFrame, by: str, compared: tuple[str, ...] = ("op", "preferred", "supported")) -> DataFrame:
+    """(by, seq_no, column, was, now): how b's placement differs from a's, by position; estimated costs and other columns aren't compared.
+
+    A position that only one side has differs in each column that isn't null there.
+    """
+    side = lambda df, name: df.select(by, "seq_no", F.struct(*[F.col(c).cast("string").alias(c) for c in compared]).alias(name))
+    both = side(a, "x").join(side(b, "y"), [by, "seq_no"], "full_outer")
+    each = F.array(*[F.struct(F.lit(c).alias("column"), F.col(f"x.{c}").alias("was"), F.col(f"y.{c}").alias("now")) for c in compared])
+    return both.select(by, "seq_no", F.inline(F.filter(each, lambda c: ~c["was"].eqNullSafe(c["now"]))))

@@ -17,6 +17,12 @@ def candidates(queries: DataFrame) -> DataFrame:
     return long.select("q_id", F.col("d").try_cast("long").alias("doc_id"), "place")
 
 
+def first_queries(queries: DataFrame, n: int, query_col: str = "q_id") -> DataFrame:
+    """The rows of the first n different query ids, in their order: a quick look at a benchmark. n is a small number."""
+    kept = queries.select(query_col).where(F.col(query_col).isNotNull()).distinct().orderBy(query_col).limit(n)
+    return queries.join(F.broadcast(kept), query_col, "left_semi")
+
+
 def wanted(queries: DataFrame) -> DataFrame:
     """(doc_id): the documents that any query names; embed only these."""
     return candidates(queries).select("doc_id").where("doc_id IS NOT NULL").distinct()
@@ -92,3 +98,8 @@ def spread(values: DataFrame, by: str, value: str, flag_above: float = 0.25, aro
     median = F.col("_m1") + (F.col("lower_median") - F.col("_m1")) * F.when(F.col("_r1") == F.col("_r2"), 0.0).otherwise(0.5)
     out = joined.select(F.col("_g").alias(by), "n", "least", median.alias("median"), "lower_median", "most")
     return out.withColumn("noisy", (F.col("most") - F.col("least")) / F.col("median") > flag_above)
+
+
+def per_token(latencies: DataFrame, length: Column, least: str = "least") -> DataFrame:
+    """Adds us_per_token: the least milliseconds of a text over its length; a jump from one length to the next is a cliff."""
+    return latencies.withColumn("us_per_token", F.col(least) * 1000 / length)

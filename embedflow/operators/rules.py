@@ -53,3 +53,29 @@ def serving_artifacts(names: DataFrame) -> DataFrame:
 def selected_forms(forms: DataFrame, preferred: str) -> DataFrame:
     has = forms.groupBy("bucket").agg(F.bool_or(F.col("form") == preferred).alias("has"))
     return forms.join(has, "bucket").where((F.col("form") == "metadata") | (F.col("form") == preferred) | ~F.col("has")).select("bucket", "form")
+
+
+#: What has been compared with another implementation: widths of a head, reaches of local attention, intervals of global layers
+TESTED = {"head_width": (64,), "local_attention": (128,), "global_every": (3,)}
+
+
+def verdict() -> Column:
+    """error for a configuration that can't be read as one, else rejected or accepted."""
+    return F.when(F.col("hidden").isNull() | F.col("heads").isNull() | (F.col("heads") < 1), "error").when(F.size(refusals()) > 0, "rejected").otherwise("accepted")
+
+
+def outside_tested(configs: DataFrame, most: int = 15) -> DataFrame:
+    """The accepted configurations outside what has been tested, the most downloaded first, at most `most` of them."""
+    own = configs.where(verdict() == "accepted").withColumn("head_width", F.floor(F.col("hidden") / F.col("heads")).cast("int"))
+    known = [F.coalesce(F.col(c).isin(*values), F.lit(False)) for c, values in TESTED.items()]
+    return own.where(~(known[0] & known[1] & known[2])).orderBy(F.desc("downloads"), "name").limit(most)
+
+
+def slug(source: Column) -> Column:
+    """A folder name for a model's id or path: other characters than ASCII letters, digits, dot, dash and underscore become dashes, none at the ends."""
+    return F.regexp_replace(F.regexp_replace(source, r"[^A-Za-z0-9._-]", "-"), "^-+|-+$", "")
+
+
+def bare_name(tensor: Column) -> Column:
+    """A tensor's name without the wrapper's prefix."""
+    return F.regexp_replace(tensor, r"^model\.", "")

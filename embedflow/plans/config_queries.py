@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from embedflow.operators import rules as R
-from embedflow.operators.inventory import first_divergence, op_counts, op_deltas, prologue
+from embedflow.operators.inventory import first_divergence, op_counts, op_deltas, op_totals, placement_changes, prologue
+from embedflow.operators.running import buckets, position
 from embedflow.plans.registry import query, table
 
 # Configurations to be judged, each breaking at most two rules
@@ -23,6 +24,9 @@ CONFIGS = [
     ("too_long", 768, 12, 22, 3, "gelu", 1e-5, None, 160000.0, None, False, "default", 512, 1024, "true", "true", "mean"),
     ("over_limit", 768, 12, 22, 3, "gelu", 1e-5, None, 160000.0, None, False, "default", 8192, 8000, "true", "true", "mean"),
     ("no_length", 768, 12, 22, 3, "gelu", 1e-5, None, 160000.0, None, False, "default", 8192, 0, "true", "true", "mean"),
+    ("no_heads", 768, None, 22, 3, "gelu", 1e-5, None, 160000.0, None, False, "default", 8192, 512, None, None, None),
+    ("wide_heads", 512, 4, 12, 3, "gelu", 1e-5, None, 160000.0, None, False, "default", 8192, 512, "true", "true", None),
+    ("often_global", 768, 12, 6, 2, "silu", 1e-5, None, 160000.0, None, False, "default", 8192, 256, "false", "true", None),
 ]
 
 
@@ -64,9 +68,27 @@ def refused_configs(spark, d):
 
 
 @query(f"""SELECT verdict, count(*) AS n FROM (SELECT CASE WHEN bias OR coalesce(rope_type, 'default') <> 'default' OR global_every < 1 OR hidden % heads <> 0 OR (hidden // heads) % 2 <> 0 OR coalesce(activation, 'gelu') NOT IN ('gelu', 'silu') OR (theta_nested IS NULL AND theta_flat IS NULL)
-OR length < 1 OR length > max_positions OR length > 4096 THEN 'rejected' ELSE 'accepted' END AS verdict FROM {CONFIG_SQL}) GROUP BY verdict""")
+OR length < 1 OR length > max_positions OR length > 4096 THEN 'rejected' ELSE 'accepted' END AS verdict FROM {CONFIG_SQL} WHERE heads IS NOT NULL UNION ALL SELECT 'error' FROM {CONFIG_SQL} WHERE heads IS NULL) GROUP BY verdict""")
 def config_survey(spark, d):
-    return configs(spark).groupBy(F.when(F.size(R.refusals()) > 0, "rejected").otherwise("accepted").alias("verdict")).agg(F.count("*").alias("n"))
+    return configs(spark).groupBy(R.verdict().alias("verdict")).agg(F.count("*").alias("n"))
+
+
+ACCEPTED_SQL = f"SELECT * FROM {CONFIG_SQL} WHERE heads IS NOT NULL AND name NOT IN ('no_theta', 'relu', 'biased', 'odd_head', 'split_head', 'too_long', 'over_limit', 'no_length')"
+
+
+@query(f"SELECT name, hidden // heads AS head_width, layers * 1000 + length AS downloads FROM ({ACCEPTED_SQL}) WHERE hidden // heads <> 64 OR global_every <> 3 ORDER BY downloads DESC, name LIMIT 15")
+def untested_configs(spark, d):
+    """Accepted, but outside of what was compared with another implementation; downloads are made up here."""
+    c = configs(spark).withColumn("local_attention", F.lit(128)).withColumn("downloads", F.col("layers") * 1000 + F.col("length"))
+    return R.outside_tested(c).select("name", "head_width", "downloads")
+
+
+@query("SELECT run_no, trim(regexp_replace(coalesce(model_label, '') || '/' || coalesce(prefix, ''), '[^A-Za-z0-9._-]', '-', 'g'), '-') AS slug, regexp_replace(CASE WHEN run_no % 2 = 0 THEN 'model.' ELSE '' END || 'layers.' || run_no || '.model.w', '^model\\.', '') AS tensor FROM runs")
+def source_slugs(spark, d):
+    """Folder names of models, and names of tensors without the prefix that some checkpoints have."""
+    r = table(spark, d, "runs")
+    tensor = F.concat(F.when(F.col("run_no") % 2 == 0, "model.").otherwise(""), F.lit("layers."), F.col("run_no").cast("string"), F.lit(".model.w"))
+    return r.select("run_no", R.slug(F.concat(F.coalesce("model_label", F.lit("")), F.lit("/"), F.coalesce("prefix", F.lit("")))).alias("slug"), R.bare_name(tensor).alias("tensor"))
 
 
 ARTIFACTS = ["seq-64", "seq-128", "buckets-64-128", "buckets-256-512", "seq-512", "seq-", "notes", "buckets-x-64"]
@@ -124,9 +146,7 @@ SEQ_SQL = "SELECT run_no, kind, row_number() OVER (PARTITION BY run_no ORDER BY
 @query(f"""WITH s AS ({SEQ_SQL}) SELECT coalesce(a.run_no, b.run_no - 1) AS run_no, min(coalesce(a.seq_no, b.seq_no)) AS seq_no FROM s a FULL JOIN s b ON b.run_no = a.run_no + 1 AND a.seq_no = b.seq_no WHERE a.kind IS DISTINCT FROM b.kind GROUP BY 1""")
 def op_divergence(spark, d):
     """Where the sequences of a run and the next one first differ."""
-    from embedflow.operators.running import position
-
-    s = position(table(spark, d, "in_records").select("run_no", "line_no", F.col("kind").alias("op")), ["line_no"], F.floor(F.col("line_no") / 65_536), "p", ["run_no"])
+    s = position(table(spark, d, "in_records").select("run_no", "line_no", F.col("kind").alias("op")), ["line_no"], buckets(F.col("line_no")), "p", ["run_no"])
     s = s.select("run_no", "op", (F.col("p") + 1).alias("seq_no"))
     return first_divergence(s, s.withColumn("run_no", F.col("run_no") - 1), "run_no")
 
@@ -134,7 +154,26 @@ def op_divergence(spark, d):
 @query(f"SELECT run_no, coalesce(min(CASE WHEN kind = 'record' THEN seq_no END), count(*) + 1) - 1 AS prologue, count(*) FILTER (WHERE kind <> 'record') - (coalesce(min(CASE WHEN kind = 'record' THEN seq_no END), count(*) + 1) - 1) AS stragglers, round(avg(CASE WHEN kind = 'record' THEN 1.0 ELSE 0.0 END), 6) AS ceiling FROM ({SEQ_SQL}) GROUP BY run_no")
 def placement(spark, d):
     """Leading operations off the fast path, later ones off it, and the share on it."""
-    from embedflow.operators.running import position
-
-    s = position(table(spark, d, "in_records").select("run_no", "line_no", "kind"), ["line_no"], F.floor(F.col("line_no") / 65_536), "p", ["run_no"])
+    s = position(table(spark, d, "in_records").select("run_no", "line_no", "kind"), ["line_no"], buckets(F.col("line_no")), "p", ["run_no"])
     return prologue(s.select("run_no", (F.col("p") + 1).alias("seq_no"), (F.col("kind") == "record").alias("fast")), "run_no")
+
+
+@query("SELECT run_no, count(*) AS total, count(*) FILTER (WHERE kind = 'flush') AS constants, count(*) FILTER (WHERE kind <> 'flush') AS compute, count(DISTINCT kind) AS kinds FROM in_records GROUP BY run_no")
+def op_summary(spark, d):
+    """Sizes of sequences with and without what isn't scheduled (here the batch ends)."""
+    return op_totals(table(spark, d, "in_records").withColumnRenamed("kind", "op"), "run_no", F.col("op") == "flush")
+
+
+PLACED_SQL = "SELECT run_no, kind AS op, skip_reason AS preferred, text IS NOT NULL AS supported, row_number() OVER (PARTITION BY run_no ORDER BY line_no) AS seq_no FROM in_records"
+
+
+@query(f"""WITH s AS ({PLACED_SQL}), b AS (SELECT coalesce(a.run_no, b.run_no - 1) AS run_no, coalesce(a.seq_no, b.seq_no) AS seq_no, a.op IS DISTINCT FROM b.op AS o, a.preferred IS DISTINCT FROM b.preferred AS p, a.supported IS DISTINCT FROM b.supported AS u
+FROM s a FULL JOIN s b ON b.run_no = a.run_no + 1 AND a.seq_no = b.seq_no)
+SELECT run_no, count(*) FILTER (WHERE o) AS ops, count(*) FILTER (WHERE p) AS preferred, count(*) FILTER (WHERE u) AS supported, min(seq_no) FILTER (WHERE o OR p OR u) AS first_change FROM b GROUP BY run_no HAVING bool_or(o OR p OR u)""")
+def placement_regression(spark, d):
+    """What a run's placement changed against the next one's; lengths of texts, as costs, aren't compared."""
+    s = position(table(spark, d, "in_records").select("run_no", "line_no", F.col("kind").alias("op"), F.col("skip_reason").alias("preferred"), F.col("text").isNotNull().alias("supported")), ["line_no"], buckets(F.col("line_no")), "p", ["run_no"])
+    s = s.withColumn("seq_no", F.col("p") + 1)
+    c = placement_changes(s, s.withColumn("run_no", F.col("run_no") - 1), "run_no")
+    n = lambda column: F.count_if(F.col("column") == column)
+    return c.groupBy("run_no").agg(n("op").alias("ops"), n("preferred").alias("preferred"), n("supported").alias("supported"), F.min("seq_no").alias("first_change"))

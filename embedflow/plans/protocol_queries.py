@@ -106,7 +106,7 @@ def openai_items(spark, d):
 @query(f"""WITH b AS (SELECT DISTINCT run_no, batch_no, model_label FROM in_records JOIN runs USING (run_no)),
 j AS (SELECT run_no, batch_no, string_agg(item, ',' ORDER BY "index") AS items, count(*) AS n, sum(n_tokens) AS t FROM ({ITEMS_SQL}) GROUP BY ALL)
 SELECT b.run_no, b.batch_no, coalesce(n, 0) AS n_items, CAST(coalesce(t, 0) AS BIGINT) AS prompt_tokens,
-md5('{{"object":"list","data":[' || coalesce(items, '') || '],"model":"' || coalesce(model_label, '') || '","usage":{{"prompt_tokens":' || coalesce(t, 0)::BIGINT || ',"total_tokens":' || coalesce(t, 0)::BIGINT || '}}}}') AS document_md5
+md5('{{"object":"list","data":[' || coalesce(items, '') || '],"model":' || coalesce(to_json(model_label)::VARCHAR, '""') || ',"usage":{{"prompt_tokens":' || coalesce(t, 0)::BIGINT || ',"total_tokens":' || coalesce(t, 0)::BIGINT || '}}}}') AS document_md5
 FROM b LEFT JOIN j ON b.run_no = j.run_no AND b.batch_no = j.batch_no""")
 def openai_sink(spark, d):
     b = table(spark, d, "in_records").select("run_no", "batch_no").distinct().join(table(spark, d, "runs").select("run_no", F.col("model_label").alias("model")), "run_no")
@@ -148,3 +148,13 @@ def top_skip_reasons(spark, d):
 def pending_records(spark, d):
     """Records without an output yet: what an incremental run still has to embed."""
     return table(spark, d, "in_records").where("kind = 'record'").join(table(spark, d, "out_records").select("line_no"), "line_no", "left_anti").select("line_no", F.sha2("text", 256).alias("text_key"))
+
+
+@query("""SELECT i.run_no, count(DISTINCT skip_reason) AS reasons, count(*) FILTER (WHERE skip_reason = 'invalid JSON') AS invalid, coalesce(string_agg(DISTINCT skip_reason, '|' ORDER BY skip_reason), '') AS listed FROM in_records i GROUP BY i.run_no""")
+def skip_maps(spark, d):
+    """The skip reasons of each run as a map from reason to count."""
+    counted = table(spark, d, "in_records").groupBy("run_no", "skip_reason").agg(F.count("*").alias("n"))
+    known = F.filter(F.collect_list(F.struct("skip_reason", "n")), lambda x: x["skip_reason"].isNotNull())  # an entry a reason
+    m = counted.groupBy("run_no").agg(F.map_from_entries(known).alias("m"))
+    listed = F.array_join(F.sort_array(F.map_keys("m")), "|")
+    return m.select("run_no", F.size("m").cast("long").alias("reasons"), F.coalesce(F.try_element_at("m", F.lit(P.INVALID)), F.lit(0)).alias("invalid"), listed.alias("listed"))

@@ -9,7 +9,7 @@ from embedflow.functions import vectors as V
 from embedflow.operators import retrieval as R
 from embedflow.plans.protocol_queries import DELIVERED_SQL
 from embedflow.plans.registry import query, table
-from embedflow.plans.token_queries import HASHED_SQL, hashed_vector
+from embedflow.plans.token_queries import HASHED_SQL, has_words, hashed_vector
 from embedflow.plans.vector_queries import INT8_SQL, emb
 from embedflow.runtime import spread
 
@@ -26,6 +26,12 @@ def candidate_sets(spark, d):
     return R.candidates(rq(spark, d)).select("q_id", "doc_id")
 
 
+@query(f"SELECT q_id, doc_id FROM ({CANDIDATES_SQL}) WHERE q_id IN (SELECT DISTINCT q_id FROM retrieval_queries WHERE q_id IS NOT NULL ORDER BY q_id LIMIT 20)")
+def first_candidates(spark, d):
+    """The candidates of the first 20 different queries."""
+    return R.candidates(R.first_queries(rq(spark, d), 20)).select("q_id", "doc_id")
+
+
 @query(f"SELECT doc_id, n_chars FROM documents WHERE doc_id IN (SELECT doc_id FROM ({CANDIDATES_SQL}))")
 def wanted_documents(spark, d):
     """A semi-join before anything costly is computed."""
@@ -44,9 +50,9 @@ r AS (SELECT *, CAST(row_number() OVER (PARTITION BY q_id ORDER BY score DESC, p
 
 def ranked_candidates(spark, d):
     c = R.candidates(rq(spark, d))
-    q = rq(spark, d).where("query_text IS NOT NULL").select("q_id", hashed_vector(F.col("query_text")).alias("qv"))
-    docs = spread(table(spark, d, "documents").join(R.wanted(rq(spark, d)), "doc_id", "left_semi").where("text IS NOT NULL").select("doc_id", "text"), "doc_id").select("doc_id", hashed_vector(F.col("text")).alias("dv"))
-    s = c.join(docs, "doc_id").join(q, "q_id").where("qv IS NOT NULL AND dv IS NOT NULL").withColumn("score", F.round(V.dot(F.col("qv"), F.col("dv")), 6))
+    q = rq(spark, d).where(has_words("query_text")).select("q_id", hashed_vector(F.col("query_text")).alias("qv"))
+    docs = spread(table(spark, d, "documents").join(R.wanted(rq(spark, d)), "doc_id", "left_semi").where(has_words("text")).select("doc_id", "text"), "doc_id").select("doc_id", hashed_vector(F.col("text")).alias("dv"))
+    s = c.join(docs, "doc_id").join(q, "q_id").withColumn("score", F.round(V.dot(F.col("qv"), F.col("dv")), 6))
     return R.ranked(s, "q_id", F.col("score"), ["place"])
 
 
@@ -84,6 +90,15 @@ def ndcg_at_10(spark, d):
     return R.ndcg(scored(spark, d), "q", F.col("score"), F.col("same").cast("int"), ["d"])
 
 
+@query(f"""WITH s AS (SELECT q, d, score, CASE WHEN same THEN 3 ELSE d % 3 END AS g FROM ({SCORED_SQL})), r AS (SELECT q, g, row_number() OVER (PARTITION BY q ORDER BY score DESC, d) AS r, row_number() OVER (PARTITION BY q ORDER BY g DESC, d) AS i FROM s),
+g AS (SELECT q, sum(CASE WHEN r <= 10 THEN g / log2(r + 1) ELSE 0 END) AS dcg, sum(CASE WHEN i <= 10 THEN g / log2(i + 1) ELSE 0 END) AS ideal FROM r GROUP BY q)
+SELECT q, round(CASE WHEN ideal > 0 THEN dcg / ideal ELSE 0 END, 6) AS ndcg FROM g""")
+def graded_ndcg(spark, d):
+    """Labels of four grades: 3 for the query's own label, else 0 to 2 by the id."""
+    grade = F.when(F.col("same"), 3).otherwise(F.col("d") % 3)
+    return R.ndcg(scored(spark, d), "q", F.col("score"), grade, ["d"])
+
+
 @query(f"WITH r AS (SELECT q, d, score, row_number() OVER (PARTITION BY q ORDER BY score DESC, d DESC) AS r FROM ({SCORED_SQL})) SELECT q, max(CASE WHEN r = 1 THEN d END) AS best, round(max(score) - min(score), 6) AS margin FROM r WHERE r <= 2 GROUP BY q")
 def nearest_margin(spark, d):
     return R.nearest_with_margin(scored(spark, d), "q", "d", F.col("score"))
@@ -112,6 +127,14 @@ def parity_report(spark, d):
     return R.parity(e, b, "vec_id", "v", 1e-4)
 
 
+@query(f"""SELECT out_id, CAST(2 * len(list_filter(v, lambda x: NOT isfinite(x))) AS INT) AS non_finite, len(list_filter(v, lambda x: NOT isfinite(x))) > 0 OR len(list_filter(v, lambda x: x <> 0)) = 0 AS fails
+FROM (SELECT out_id, list_filter(embedding, lambda x: x IS NOT NULL) AS v FROM ({DELIVERED_SQL}) WHERE embedding IS NOT NULL AND len(embedding) = len(list_filter(embedding, lambda x: x IS NOT NULL)))""")
+def output_parity(spark, d):
+    """Outputs against twice themselves: only vectors with values that aren't finite, or without a direction, fail."""
+    o = table(spark, d, "out_records").dropDuplicates(["out_id"]).where("embedding IS NOT NULL AND NOT exists(embedding, x -> x IS NULL)").select("out_id", F.transform("embedding", lambda x: x.cast("double")).alias("v"))
+    return R.parity(o, o.withColumn("v", F.transform("v", lambda x: x * 2)), "out_id", "v", 1e-4).select("out_id", "non_finite", "fails")
+
+
 @query(f"SELECT count(*) AS deliveries, count(DISTINCT out_id) AS records, count(*) - count(DISTINCT out_id) AS repeated, (SELECT count(*) FROM in_records WHERE kind = 'record' AND line_no NOT IN (SELECT line_no FROM ({DELIVERED_SQL}))) AS without_output FROM out_records")
 def delivery_report(spark, d):
     o = table(spark, d, "out_records")
@@ -130,6 +153,13 @@ def latency_table(spark, d):
     return R.spread(table(spark, d, "events").select("event_type", "value"), "event_type", "value").withColumn("median", F.round("median", 6))
 
 
+@query(f"SELECT event_type, round(least * 1000 / (16 * length(event_type)), 6) AS us_per_token FROM ({SPREAD_SQL})")
+def latency_per_token(spark, d):
+    """The least value over a text's length; 16 tokens for each letter of the name stand for the length here."""
+    t = R.spread(table(spark, d, "events").select("event_type", "value"), "event_type", "value")
+    return R.per_token(t, 16 * F.length("event_type")).select("event_type", F.round("us_per_token", 6).alias("us_per_token"))
+
+
 # Measured seconds of serial and parallel runs, and of start-up probes
 RUNS = [("serial", 30.1), ("serial", 30.9), ("serial", 31.5), ("two", 17.2), ("two", 16.8), ("two", 18.1), ("four", 15.9), ("four", 16.4), ("four", 16.0)]
 RUNS_SQL = "(VALUES " + ", ".join(f"('{k}', {v}::DOUBLE)" for k, v in RUNS) + ") r(mode, s)"

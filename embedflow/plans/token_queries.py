@@ -106,6 +106,11 @@ def hashed_vector(text):
     return V.let(F.slice(T.words(text), 1, T.MAX_LENGTH - 2), lambda w: F.when(F.size(w) > 0, V.let(mean(w), unit)))
 
 
+def has_words(text):
+    """A filter before hashed_vector: one after it would be pushed below, and the vector computed twice."""
+    return F.col(text).rlike(r"[^ \t\n\r]")
+
+
 HASHED_SQL = """SELECT {key}, list_transform(m, lambda x: x / sqrt(list_sum(list_transform(m, lambda y: y * y)))) AS v FROM (
 SELECT {key}, [""" + ", ".join(f"sum(cnt * (('0x' || substr(h, {4 * j + 1}, 4))::INT / 32768.0::DOUBLE - 1)) / sum(cnt)" for j in range(COMPONENTS)) + """] AS m FROM (
 SELECT {key}, md5(w) AS h, count(*)::DOUBLE AS cnt FROM (SELECT {key}, unnest(list_filter(regexp_split_to_array({text}, '[ \\t\\n\\r]+'), lambda w: w <> '')[1:510]) AS w FROM {table} WHERE {text} IS NOT NULL) GROUP BY ALL) GROUP BY {key})"""
@@ -125,7 +130,7 @@ def hashed_truncated(spark, d):
 
 
 def hashed_components(t):
-    v = t.select("doc_id", hashed_vector(F.col("text")).alias("v")).where("v IS NOT NULL")
+    v = t.where(has_words("text")).select("doc_id", hashed_vector(F.col("text")).alias("v"))
     return v.select("doc_id", F.posexplode("v").alias("j", "x")).select("doc_id", "j", F.round("x", 6).alias("v"))
 
 
@@ -142,6 +147,12 @@ def embed_documents(spark, d):
     return embed_records(spread(texts(spark, d), "doc_id")).select("doc_id", "embedding", "n_tokens", "truncated")
 
 
+@query(f"SELECT doc_id, n_tokens, n_all + 2 > 512 AS truncated FROM ({LENGTH_SQL})")
+def embedded_lengths(spark, d):
+    """What the encoder's path says of its own token counts."""
+    return embed_documents(spark, d).select("doc_id", "n_tokens", "truncated")
+
+
 @query()
 def embed_in_records(spark, d):
     from embedflow.embed import embed_records

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
@@ -209,3 +211,55 @@ def strided_read(spark, d):
     """The 7 x 5 logical values of buffers whose rows lie 8 apart."""
     v = F.transform(V.strided(F.col("embedding"), 7, 5, 8), lambda x: x.cast("double"))
     return rows(emb(spark, d), ["vec_id"], v)
+
+
+def _rule(rows: int, columns: int, salt: int):
+    """A fixed weight matrix by a rule that both engines know."""
+    return F.array(*[F.array(*[F.lit(((o * 31 + i * 17 + salt) % 13 - 6) / 13.0) for i in range(columns)]) for o in range(rows)])
+
+
+def _rule_sql(v: str, rows: int, columns: int, salt: int) -> str:
+    return f"list_transform(range({rows}), lambda r: list_sum(list_transform(range({columns}), lambda c: ((r * 31 + c * 17 + {salt}) % 13 - 6) / 13.0::DOUBLE * {v}[c + 1])))"
+
+
+def _norm_sql(table: str, keep: str) -> str:
+    """keep and m, the normed x of a table."""
+    return f"SELECT {keep}, list_transform(c, lambda a: a / sd) AS m FROM (SELECT *, sqrt(list_inner_product(c, c) / 64 + 1e-5) AS sd FROM (SELECT *, list_transform(x, lambda a: a - mu) AS c FROM (SELECT *, list_avg(x) AS mu FROM {table})))"
+
+
+def _turned_sql(v: str) -> str:
+    return f"list_transform(range(8), lambda i: {v}[i + 1] * cos((p % 25) * pow(10000.0::DOUBLE, (i % 4) * -2.0::DOUBLE / 8)) + CASE WHEN i < 4 THEN -{v}[i + 5] ELSE {v}[i - 3] END * sin((p % 25) * pow(10000.0::DOUBLE, (i % 4) * -2.0::DOUBLE / 8)))"
+
+
+LAYER_SQL = f"""WITH e AS (SELECT vec_id // 25 AS s, vec_id AS p, embedding::DOUBLE[] AS x FROM embeddings), n AS ({_norm_sql('e', 's, p, x')}),
+qkv AS (SELECT *, {_rule_sql('m', 8, 64, 0)} AS q0, {_rule_sql('m', 8, 64, 1)} AS k0, {_rule_sql('m', 8, 64, 2)} AS v FROM n),
+t AS (SELECT s, p, x, v, {_turned_sql('q0')} AS q, {_turned_sql('k0')} AS k FROM qkv),
+w AS (SELECT a.s, a.p, b.v, list_inner_product(a.q, b.k) / sqrt(8) AS z FROM t a JOIN t b ON a.s = b.s),
+m AS (SELECT *, exp(greatest(z - max(z) OVER (PARTITION BY s, p), -87)) AS a FROM w),
+o AS (SELECT s, p, [{', '.join(f'sum(a * v[{i + 1}]) / sum(a)' for i in range(8))}] AS o FROM m GROUP BY s, p),
+r AS (SELECT t.s, t.p, list_transform(list_zip(x, {_rule_sql('o', 64, 8, 3)}), lambda y: y[1] + y[2]) AS x FROM t JOIN o ON t.p = o.p),
+f AS ({_norm_sql('r', 'p, x')}), g AS (SELECT p, x, {_rule_sql('m', 16, 64, 4)} AS g FROM f),
+u AS (SELECT p, x, list_transform(range(8), lambda i: g[i + 1] / (1 + exp(-g[i + 1])) * g[i + 9]) AS g FROM g),
+y AS (SELECT p, list_transform(list_zip(x, {_rule_sql('g', 64, 8, 5)}), lambda y: y[1] + y[2]) AS y FROM u)
+SELECT p AS vec_id, CAST(i AS INT) AS pos, round(y[i + 1], 5) AS value FROM y, range(64) t(i)"""
+
+
+@query(LAYER_SQL)
+def encoder_layer(spark, d):
+    """A whole layer with global attention of one head over sequences of 25 vectors: norm, projections, rotation,
+    attention, residual, norm, gated unit, residual."""
+    double = lambda v: F.transform(v, lambda x: x.cast("double"))
+    e = emb(spark, d).select(F.floor(F.col("vec_id") / 25).alias("s"), F.col("vec_id").alias("p"), double("embedding").alias("x"))
+    part = lambda salt: V.let(V.layer_norm(F.col("x")), lambda h: V.linear(h, _rule(8, 64, salt)))
+    turned = lambda salt: V.let(part(salt), lambda v: V.rotary(v, F.col("p") % 25, 8, 10_000.0))
+    e = e.select("s", "p", "x", turned(0).alias("q"), turned(1).alias("k"), part(2).alias("v"))
+    keys = e.groupBy("s").agg(F.collect_list(F.struct("k", "v")).alias("kv"))  # a sequence has 25 vectors
+    met = e.join(keys, "s").withColumn("z", F.transform("kv", lambda t: V.dot(F.col("q"), t["k"]) / math.sqrt(8)))
+    met = met.withColumn("a", V.let(F.array_max("z"), lambda top: F.transform("z", lambda z: F.exp(F.greatest(z - top, F.lit(-87.0))))))
+    zero = F.array(*[F.lit(0.0)] * 8)
+    summed = F.aggregate(F.zip_with("a", "kv", lambda a, t: F.transform(t["v"], lambda v: a * v)), zero, lambda acc, v: F.zip_with(acc, v, lambda x, y: x + y))
+    met = met.withColumn("o", V.let(V.total(F.col("a")), lambda n: V.let(summed, lambda o: F.transform(o, lambda x: x / n))))
+    met = met.select("p", V.let(F.col("o"), lambda o: V.residual(F.col("x"), V.linear(o, _rule(64, 8, 3)))).alias("x"))
+    unit = lambda x: V.let(V.layer_norm(x), lambda m: V.let(V.linear(m, _rule(16, 64, 4)), lambda g: V.gated(g, 8, "silu")))
+    y = met.select(F.col("p").alias("vec_id"), V.let(F.col("x"), lambda x: V.let(unit(x), lambda u: V.residual(x, V.linear(u, _rule(64, 8, 5))))).alias("y"))
+    return y.select("vec_id", F.posexplode("y").alias("pos", "value")).withColumn("value", F.round("value", 5))

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import math
 from collections.abc import Iterable, Iterator
 from typing import NamedTuple
 
@@ -33,11 +34,18 @@ def _no_constant(name: str):
     raise ValueError(name)
 
 
-_decoder = json.JSONDecoder(parse_constant=_no_constant)
+def _finite(digits: str) -> float:
+    value = float(digits)
+    if math.isinf(value):
+        raise ValueError("number out of range")
+    return value
+
+
+_decoder = json.JSONDecoder(parse_constant=_no_constant, parse_float=_finite)
 
 
 def decode(line: str):
-    """The JSON value of a line; ValueError for what a strict parser refuses (NaN, trailing text, lone surrogates)."""
+    """The JSON value of a line; ValueError for what a strict parser refuses (NaN, numbers out of range, trailing text, lone surrogates)."""
     try:
         value, end = _decoder.raw_decode(line, len(line) - len(line.lstrip(" \t\n\r")))
         if line[end:].strip(" \t\n\r"):

@@ -9,6 +9,7 @@ from embedflow.operators.running import buckets, position, running_sum
 from embedflow.sources import lines as L
 
 CASES = [
+    ('{"id": 1e400, "text": "a"}', "skip", "invalid JSON", None, None), ('{"id": 1e300, "text": "a"}', "record", None, "1e+300", "a"),
     ('{"id": 123, "text": "hello"}', "record", None, "123", "hello"),
     ('{"id": "b-9", "text": "改行\\nあり"}', "record", None, '"b-9"', "改行\nあり"),
     ("", "flush", None, None, None),

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from embedflow.llm import clusters, confusables, copies, knn, mixing, packing, residue
+from embedflow.plans.protocol_queries import USABLE_SQL
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -105,5 +106,19 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     for f in (p1_found, p1_consistent, p1_classes, p2_found, p2_nearest, p3_found, p3_collapsed, p4_found, p4_described, p5_packed, p5_use, p6_mixed, p6_shares, p7_found, p7_kept)
 }
 
-# None of the seven problems has an exact ANSI SQL form over whole tables; tests/llm holds brute-force counterparts.
-ORACLE_SQL: dict[str, str] = {}
+# Brute force over whole tables, where SQL can state a problem exactly; tests/llm holds other counterparts
+KEYS_SQL = r"""SELECT line_no, CASE json_type(line, '$.id') WHEN 'VARCHAR' THEN 's' || json_extract_string(line, '$.id')
+WHEN 'OBJECT' THEN 'o' || array_to_string(list_sort(list_transform(json_keys(line, '$.id'), lambda k: k || ':' || json_extract(line, '$.id."' || k || '"')::VARCHAR)), ',')
+WHEN 'DOUBLE' THEN 'n' || CASE WHEN json_extract(line, '$.id')::DOUBLE = floor(json_extract(line, '$.id')::DOUBLE) THEN json_extract(line, '$.id')::DOUBLE::HUGEINT::VARCHAR ELSE json_extract(line, '$.id')::VARCHAR END
+ELSE 'n' || json_extract(line, '$.id')::VARCHAR END AS id,
+replace(lower(regexp_replace(json_extract_string(line, '$.text'), '[\s\x0b\x1c-\x1f\x{85}\p{Z}\p{P}]+', '', 'g')), 'ß', 'ss') AS t FROM input_lines
+WHERE json_valid(line) AND json_type(line) = 'OBJECT' AND json_type(line, '$.id') IS NOT NULL AND json_type(line, '$.text') = 'VARCHAR' AND json_extract_string(line, '$.text') <> ''"""
+UNIT_SQL = f"""SELECT out_id, list_transform(e, lambda x: x / sqrt(list_inner_product(e, e))) AS v FROM (SELECT DISTINCT ON (out_id) out_id, embedding::DOUBLE[] AS e FROM out_records WHERE {USABLE_SQL})"""
+
+ORACLE_SQL: dict[str, str] = {
+    "p3_found": f"SELECT CAST(first AS INT) AS first_line, CAST(line_no AS INT) AS copy_line FROM (SELECT line_no, min(line_no) OVER (PARTITION BY id, t) AS first FROM ({KEYS_SQL})) WHERE line_no <> first",
+    "p3_collapsed": f"SELECT CAST(min(line_no) AS BIGINT) AS first_line, count(*) AS copies FROM ({KEYS_SQL}) GROUP BY id, t",
+    "p4_found": f"""WITH RECURSIVE u AS MATERIALIZED ({UNIT_SQL}), l AS MATERIALIZED (SELECT a.out_id AS a, b.out_id AS b FROM u a JOIN u b ON a.out_id <> b.out_id AND list_inner_product(a.v, b.v) >= 0.72),
+r AS (SELECT a, b FROM l UNION SELECT r.a, l.b FROM r JOIN l ON r.b = l.a)
+SELECT first_out, member_out FROM (SELECT min(b) AS first_out, a AS member_out FROM r GROUP BY a HAVING count(*) >= 5) WHERE first_out <> member_out""",
+}

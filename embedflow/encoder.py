@@ -37,8 +37,37 @@ def erf(x: np.ndarray) -> np.ndarray:
     return np.copysign(1 - poly, x)
 
 
+def gelu(x: np.ndarray, block: int = 1 << 16) -> np.ndarray:
+    """x / 2 * (1 + erf(x / sqrt 2)) in float32, in place and in blocks small enough for the cache."""
+    from embedflow.functions.vectors import ERF_A, ERF_P
+
+    x = np.ascontiguousarray(x, np.float32)
+    flat, out = x.reshape(-1), np.empty(x.size, np.float32)
+    t, e = np.empty(block, np.float32), np.empty(block, np.float32)
+    for start in range(0, len(flat), block):
+        own, y = flat[start : start + block], out[start : start + block]
+        t, e = t[: len(own)], e[: len(own)]
+        np.multiply(own, np.float32(0.7071067811865476), out=e)
+        np.abs(e, out=t)
+        t *= np.float32(ERF_P)
+        t += np.float32(1)
+        np.reciprocal(t, out=t)
+        np.multiply(e, e, out=e)
+        np.exp(np.negative(e, out=e), out=e)
+        np.multiply(t, np.float32(ERF_A[-1]), out=y)
+        for a in reversed(ERF_A[:-1]):
+            y += np.float32(a)
+            y *= t
+        y *= e
+        np.copysign(np.subtract(1, y, out=y), own, out=y)
+        y += np.float32(1)
+        y *= own
+        y *= np.float32(0.5)
+    return out.reshape(x.shape)
+
+
 def activate(x: np.ndarray, name: str) -> np.ndarray:
-    return x * 0.5 * (1 + erf(x * np.float32(0.7071067811865476))) if name == "gelu" else x / (1 + np.exp(-x))
+    return gelu(x) if name == "gelu" else x / (1 + np.exp(-x))
 
 
 def rotary_tables(length: int, dim: int, theta: float) -> tuple[np.ndarray, np.ndarray]:
@@ -94,7 +123,9 @@ class Encoder:
         self.w = {k: to_bf16(v) if self.bf16 and v.ndim == 2 else v for k, v in weights.items()}
 
     def linear(self, x: np.ndarray, name: str) -> np.ndarray:
-        return (to_bf16(x) if self.bf16 else x) @ self.w[name].T
+        """One product over all rows and positions: a stack of them would be multiplied one by one."""
+        flat = (to_bf16(x) if self.bf16 else x).reshape(-1, x.shape[-1])
+        return (flat @ self.w[name].T).reshape(*x.shape[:-1], -1)
 
     def tables(self, length: int, theta: float):
         if (length, theta) not in self._tables:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable, Iterable
 from dataclasses import dataclass
 
@@ -11,7 +12,7 @@ from pyspark.sql import functions as F
 from embedflow.answers import in_order, output_lines, summary
 from embedflow.embed import embed_records
 from embedflow.operators import protocol as P
-from embedflow.runtime import materialize, spread
+from embedflow.runtime import drop, materialize, publish, remove, spread
 from embedflow.sources import lines as L
 from embedflow.spec import EncoderSpec
 
@@ -32,7 +33,8 @@ class RunResult:
 
 
 def run_lines(lines: DataFrame, out: str, spec: EncoderSpec = EncoderSpec()) -> RunResult:
-    """lines: (file, line_no, line). Writes out/vectors (text), out/skipped and returns the summary.
+    """lines: (file, line_no, line). Writes out/vectors (text), out/skipped and returns the summary; both appear once they
+    are whole, in the place of an earlier run's.
 
     Each record is embedded once: the vectors are kept as a table before they are written and counted. The output
     parts are ranges of the input's order: read one after the other they hold each file's answers in its order.
@@ -40,9 +42,16 @@ def run_lines(lines: DataFrame, out: str, spec: EncoderSpec = EncoderSpec()) ->
     parsed = materialize(P.with_batches(P.parse_lines(lines), stream_col="file"), "parsed")
     todo = parsed.where("kind = 'record'").select("file", "batch_no", "line_no", "id_json", "text")
     records = materialize(embed_records(spread(todo, "line_no"), spec), "records")
-    in_order(output_lines(records, parsed, spec)).write.mode("overwrite").text(f"{out}/vectors")
-    P.quarantine(parsed).select("file", "line_no", "line", "skip_reason", "message").write.mode("overwrite").parquet(f"{out}/skipped")
-    return RunResult(**summary(parsed, records, spec).first().asDict())
+    spark, made = lines.sparkSession, f"{out}/.partial-{uuid.uuid4().hex}"
+    in_order(output_lines(records, parsed, spec)).write.text(f"{made}/vectors")
+    P.quarantine(parsed).select("file", "line_no", "line", "skip_reason", "message").write.parquet(f"{made}/skipped")
+    result = RunResult(**summary(parsed, records, spec).first().asDict())
+    for kind in ("vectors", "skipped"):
+        publish(spark, f"{made}/{kind}", f"{out}/{kind}")
+    for table in (records, parsed):
+        drop(table)
+    remove(spark, made)
+    return result
 
 
 def run_files(spark: SparkSession, path: str, out: str, spec: EncoderSpec = EncoderSpec()) -> RunResult:

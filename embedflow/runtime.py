@@ -106,9 +106,42 @@ def materialize(df: DataFrame, name: str = "t") -> DataFrame:
     """Write df once as Parquet into the shared folder and read it back.
 
     Cuts lineage without executor-local storage: when an executor is lost, its part is read again from the
-    table instead of being computed again. Keeps the schema, also of an empty frame.
+    table instead of being computed again. Keeps the schema, also of an empty frame. The table stays until drop(), or
+    clean() at the end of the application.
     """
     spark = df.sparkSession
     path = f"{_own_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._embedflow_table = path
+    return out
+
+
+def drop(table: DataFrame) -> None:
+    """Remove a table that materialize() wrote, once nothing reads it any more."""
+    remove(table.sparkSession, table._embedflow_table)
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    at, fs = _file_system(spark, path)
+    fs.delete(at, True)
+
+
+def publish(spark: SparkSession, made: str, path: str) -> None:
+    """Put a finished folder in the place of another: a reader finds the old one or the new one, or for a moment none,
+    never a part. What was there stays aside until the new one is in place."""
+    new, fs = _file_system(spark, made)
+    target, old = _file_system(spark, path)[0], _file_system(spark, f"{path}.replaced-{uuid.uuid4().hex}")[0]
+    there = fs.exists(target)
+    if there and not fs.rename(target, old):
+        raise OSError(f"{path} can't be moved")
+    try:
+        moved = fs.rename(new, target)
+    except Exception:  # some file systems say no by an exception
+        moved = False
+    if not moved:
+        if there:
+            fs.rename(old, target)
+        raise OSError(f"{made} can't be moved to {path}")
+    if there:
+        fs.delete(old, True)

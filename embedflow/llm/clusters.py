@@ -1,6 +1,8 @@
 """Problem 4: clusters of mutually similar vectors, by grids.
 
-The features are projections of the vectors; each grid quantises a few of them at the medians of its cells. Every
+The method named counts the rows of grid cells and joins adjacent dense cells; on these vectors that finds about a
+fifth of the members at best (figures in the README), so that the density of a cell is refined to the links of its
+rows. The features are projections of the vectors; each grid quantises a few of them at the medians of its cells. Every
 cell links all of its rows by their cosine, and what is linked there forms a piece: cells aren't counted, and no
 dense ones are selected. Cells are adjacent where they hold the same row: every row also stands in the cell across
 its nearest border, and in a cell of every grid. Minimum labels are propagated over rows and pieces until nothing
@@ -15,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from embedflow.llm import _vectors as V
-from embedflow.runtime import materialize
+from embedflow.runtime import drop, materialize
 
 
 def linked_pieces(x: np.ndarray, min_cos: float, block_rows: int = 512, copies: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
@@ -76,11 +78,14 @@ def propagate_minimum(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
             ),
             "lower",
         )
+        drop(labels)
         if lower.where("label <> was").limit(1).count() == 0:
+            drop(both)
             return lower.select("node", "label")
         labels = materialize(
             spark.sql("SELECT l.node, least(l.label, up.label) AS label FROM {lower} l JOIN {lower} up ON l.label = up.node", lower=lower), "labels"
         )
+        drop(lower)
     raise RuntimeError(f"labels still change after {max_rounds} rounds")
 
 

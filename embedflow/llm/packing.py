@@ -11,39 +11,84 @@ from embedflow.llm.tokens import TOKENIZER, token_sizes
 from embedflow.runtime import materialize
 
 
+#: Up to this capacity the counts of open containers are looked at for every gap, beyond it for the gaps that occur
+EVERY_GAP = 1 << 16
+
+
 def sum_of_squares(sizes: np.ndarray, capacity: int) -> np.ndarray:
     """Container number of each item, in the order given; sizes are 1..capacity.
 
-    open_bins[g] counts the open containers with g tokens left. An item goes where the sum of the squared counts
+    N(g) is the number of open containers with g tokens left. An item goes where the sum of the squared counts
     becomes smallest, into an open container or a new one; on a tie into the fullest.
     """
-    open_bins = np.zeros(capacity + 1, np.int64)
-    stacks: list[list[int]] = [[] for _ in range(capacity + 1)]
-    out, made = np.empty(len(sizes), np.int64), 0
+    pick = _every_gap if capacity <= EVERY_GAP else _gaps_that_occur
+    stacks: dict[int, list[int]] = {}
+    out, made, counts = np.empty(len(sizes), np.int64), 0, pick(capacity)
     for i, s in enumerate(sizes.tolist()):
-        left, new_gap = open_bins[: capacity - s], capacity - s
-        gaps = open_bins[s:capacity]
-        change = 2 * (left - gaps) + 2
-        if len(change):
-            change[0] -= 1
-            change[gaps == 0] = np.iinfo(np.int64).max
-            at = int(change.argmin())
-            best = int(change[at])
+        gap = counts.best(s)
+        if gap is None:
+            gap, number, made = capacity, made, made + 1
         else:
-            best = np.iinfo(np.int64).max
-        if best <= (2 * int(open_bins[new_gap]) + 1 if new_gap else 0) and best != np.iinfo(np.int64).max:
-            gap = at + s
             number = stacks[gap].pop()
-            open_bins[gap] -= 1
-        else:
-            gap, number, made = capacity, made, made + 1
+            counts.add(gap, -1)
         out[i] = number
         if gap > s:
-            stacks[gap - s].append(number)
-            open_bins[gap - s] += 1
+            stacks.setdefault(gap - s, []).append(number)
+            counts.add(gap - s, 1)
     return out
 
 
+class _every_gap:
+    def __init__(self, capacity: int):
+        self.capacity, self.n = capacity, np.zeros(capacity + 1, np.int64)
+
+    def add(self, gap: int, by: int) -> None:
+        self.n[gap] += by
+
+    def best(self, s: int) -> int | None:
+        """The gap that an item of size s goes into; None for a new container."""
+        left, gaps = self.n[: self.capacity - s], self.n[s : self.capacity]
+        if not len(gaps):
+            return None
+        change = 2 * (left - gaps) + 2
+        change[0] -= 1
+        change[gaps == 0] = np.iinfo(np.int64).max
+        at = int(change.argmin())
+        return at + s if gaps[at] and change[at] <= 2 * int(self.n[self.capacity - s]) + 1 else None
+
+
+class _gaps_that_occur:
+    """The same with the gaps in order and their counts, for capacities far beyond the number of open containers."""
+
+    def __init__(self, capacity: int):
+        self.capacity, self.gaps, self.n = capacity, np.zeros(0, np.int64), np.zeros(0, np.int64)
+
+    def add(self, gap: int, by: int) -> None:
+        at = int(np.searchsorted(self.gaps, gap))
+        if at < len(self.gaps) and self.gaps[at] == gap:
+            self.n[at] += by
+            if not self.n[at]:
+                self.gaps, self.n = np.delete(self.gaps, at), np.delete(self.n, at)
+        else:
+            self.gaps, self.n = np.insert(self.gaps, at, gap), np.insert(self.n, at, by)
+
+    def count(self, gaps: np.ndarray) -> np.ndarray:
+        if not len(self.gaps):
+            return np.zeros(len(gaps), np.int64)
+        at = np.searchsorted(self.gaps, gaps).clip(max=len(self.gaps) - 1)
+        return np.where(self.gaps[at] == gaps, self.n[at], 0)
+
+    def best(self, s: int) -> int | None:
+        fit = int(np.searchsorted(self.gaps, s))
+        gaps = self.gaps[fit:]
+        if s == self.capacity or not len(gaps):
+            return None
+        change = 2 * (self.count(gaps - s) - self.n[fit:]) + 2
+        change[gaps == s] -= 1
+        at = int(change.argmin())
+        return int(gaps[at]) if change[at] <= 2 * int(self.count(np.array([self.capacity - s]))[0]) + 1 else None
+
+
 def packed_containers(
     documents: DataFrame,
     containers: DataFrame,

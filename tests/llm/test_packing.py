@@ -30,6 +30,25 @@ def test_rule(sizes):
     assert fill.max(initial=0) <= 12 and sorted(12 - fill) == sorted(gaps)
 
 
+@settings(max_examples=60, deadline=None)
+@given(st.integers(1, 60).flatmap(lambda c: st.tuples(st.just(c), st.lists(st.integers(1, c), max_size=60))))
+def test_both_ways_of_looking_at_gaps_agree(case):
+    capacity, sizes = case
+    sizes = np.array(sizes, np.int64)
+    every = P.sum_of_squares(sizes, capacity).tolist()
+    with pytest.MonkeyPatch.context() as m:
+        m.setattr(P, "EVERY_GAP", 0)
+        assert P.sum_of_squares(sizes, capacity).tolist() == every
+
+
+def test_large_capacity_is_quick():
+    sizes = np.sort(np.random.default_rng(1).integers(1, 40_000, 5000))[::-1]
+    number = P.sum_of_squares(sizes, 1_000_000_000)
+    assert number.max() == 0
+    fill = np.bincount(P.sum_of_squares(sizes, 1_000_000), weights=sizes)
+    assert fill.max() <= 1_000_000 and fill.sum() / (len(fill) * 1e6) > 0.98
+
+
 def test_tokens(spark):
     enc = encoding(TOKENIZER)
     texts = ["Hello world", "", None, "日本語の文。", "<|endoftext|>", " a\n\nb", "x" * 40_000]

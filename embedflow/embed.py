@@ -6,9 +6,6 @@ semi-join before it: Catalyst doesn't push one below.
 
 from __future__ import annotations
 
-import atexit
-import shutil
-import tempfile
 from functools import lru_cache
 from pathlib import Path
 
@@ -18,7 +15,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from embedflow.runtime import is_local
+from embedflow.runtime import ship_file
 from embedflow.spec import EncoderSpec
 
 EMBEDDED = T.StructType([T.StructField("embedding", T.ArrayType(T.FloatType())), T.StructField("n_tokens", T.IntegerType()), T.StructField("truncated", T.BooleanType())])
@@ -47,10 +44,7 @@ def ship_checkpoint(spark: SparkSession, spec: EncoderSpec) -> None:
         key = (spark.sparkContext.applicationId, path)
         if key not in _sent:
             _sent.add(key)
-            link = Path(tempfile.mkdtemp(prefix="embedflow-ship-")) / _shipped_name(path)
-            link.symlink_to(Path(path).resolve())  # two checkpoints have files of the same name
-            spark.sparkContext.addFile(str(link))
-            shutil.rmtree(link.parent) if is_local(spark) else atexit.register(shutil.rmtree, link.parent, True)
+            ship_file(spark, path, _shipped_name(path))
 
 
 def _here(path: str) -> str:

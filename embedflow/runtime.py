@@ -58,6 +58,13 @@ def ship(spark: SparkSession) -> SparkSession:
     return spark
 
 
+def ship_file(spark: SparkSession, path: str, name: str) -> None:
+    """Send a file of the driver to all workers under a name; they fetch it from the shared folder, not from the driver."""
+    target, fs = _file_system(spark, f"{_own_dir(spark)}/files/{name}")
+    fs.copyFromLocalFile(False, True, spark._jvm.org.apache.hadoop.fs.Path(Path(path).resolve().as_uri()), target)
+    spark.sparkContext.addFile(str(target))
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder that all executors share: spark.checkpoint.dir, or, in local mode alone, one of our own where it is unset (tests)."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()

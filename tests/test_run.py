@@ -87,3 +87,63 @@ def test_stream_of_documents(spark, monkeypatch):
     assert [d["usage"]["total_tokens"] for d in docs] == [3, 0, 7]
     assert [json.loads(x)["data"] for x in streamed(spark, [], spec)[1]] == [[]]
     assert streamed(spark, [], EncoderSpec())[1] == []
+
+
+def checkpoint(folder):
+    """A checkpoint folder with drawn weights and a tokenizer of a few words."""
+    import struct
+
+    from tokenizers import Tokenizer, models, pre_tokenizers, processors
+
+    from embedflow.spec import TINY, synthetic_weights
+
+    folder.mkdir()
+    weights = {f"model.{k}": v for k, v in synthetic_weights(TINY).items()}
+    header, at = {}, 0
+    for k, v in weights.items():
+        header[k] = {"dtype": "F32", "shape": list(v.shape), "data_offsets": [at, at + v.nbytes]}
+        at += v.nbytes
+    raw = json.dumps(header).encode()
+    (folder / "model.safetensors").write_bytes(struct.pack("<Q", len(raw)) + raw + b"".join(v.tobytes() for v in weights.values()))
+    config = {"vocab_size": 32, "hidden_size": 16, "num_hidden_layers": 3, "num_attention_heads": 2, "intermediate_size": 8, "max_position_embeddings": 64, "local_attention": 4, "global_attn_every_n_layers": 3, "global_rope_theta": 160000.0, "local_rope_theta": 10000.0}
+    (folder / "config.json").write_text(json.dumps(config))
+    words = Tokenizer(models.WordLevel({"[PAD]": 0, "[CLS]": 1, "[SEP]": 2, "[UNK]": 3, "one": 4, "two": 5}, unk_token="[UNK]"))
+    words.pre_tokenizer = pre_tokenizers.Whitespace()
+    words.post_processor = processors.TemplateProcessing(single="[CLS] $A [SEP]", special_tokens=[("[CLS]", 1), ("[SEP]", 2)])
+    words.save(str(folder / "tokenizer.json"))
+    return folder
+
+
+def test_checkpoint_is_shipped(spark, tmp_path):
+    """Workers open their own copies: the driver's folder may be gone by then."""
+    import shutil
+
+    from embedflow.embed import embed_batch, embed_records, ship_checkpoint
+
+    spec = EncoderSpec.from_files(str(checkpoint(tmp_path / "tiny")), options=Options(max_seq_length=5))
+    texts = ["one two", "two", "other one two one", ""]
+    want, sizes, cut = embed_batch(texts, spec)
+    assert sizes == [4, 3, 5, 2] and cut == [False, False, True, False] and want.shape == (4, 16)
+    ship_checkpoint(spark, spec)
+    shutil.rmtree(tmp_path / "tiny")
+    got = embed_records(spark.createDataFrame(list(enumerate(texts)), "i int, text string"), spec).orderBy("i").collect()
+    assert [r.n_tokens for r in got] == sizes and [r.truncated for r in got] == cut
+    assert max(abs(a - b) for r, v in zip(got, want) for a, b in zip(r.embedding, v.tolist())) < 1e-5
+
+
+def test_checkpoints_are_refused(tmp_path):
+    from embedflow.embed import check_output
+    from embedflow.spec import UnsupportedRequest, config_from_json
+
+    folder = checkpoint(tmp_path / "tiny")
+    with pytest.raises(UnsupportedRequest, match="hidden_size twice"):
+        config_from_json((folder / "config.json").read_text()[:-1] + ', "hidden_size": 16}')
+    (folder / "tokenizer.json").unlink()
+    with pytest.raises(FileNotFoundError, match="tokenizer.json"):
+        EncoderSpec.from_files(str(folder), options=Options(max_seq_length=5))
+    import numpy as np
+
+    check_output(np.zeros((1, 2, 4)), (1, 2, 4))
+    for wrong in (np.zeros((1, 2, 5)), np.full((1, 2, 4), np.nan)):
+        with pytest.raises(ValueError):
+            check_output(wrong, (1, 2, 4))

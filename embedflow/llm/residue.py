@@ -27,15 +27,21 @@ from embedflow.runtime import spread
 
 # Messages by which records are trusted to be an error page, a script notice or filler
 TRUSTED = re.compile(
+    # filler
     r"lorem ipsum|dolor sit amet|ここに.{0,8}(入ります|書く)|仮の文です|ダミーの文|内容は準備中|仮文|\(仮\)|サンプル文|テストテスト"
-    r"|your (description|text) here|texte (viendra|provisoire)|description à venir|aquí irá el texto|hier steht|blindtext|lipsum|здесь (написать|будет)"
+    r"|your (description|text) here|texte (viendra|provisoire)|description à venir|aquí irá el texto|hier steht|blindtext|lipsum|здесь (написать|будет)|testo segnaposto|voorbeeldtekst"
+    # errors, refusals, outages, expiry
     r"|\b(40[0134]|50[0234]) (not found|forbidden|bad|internal|service|gateway|error|unauthorized)|\((40[34]|50[0234])\)|\b(404|403|50[0234]) (ページ|サービス|アクセス)"
-    r"|page not found|access (is )?denied|too many requests|traceback|sqlstate|bad gateway|internal server error|service unavailable|session (has )?expired"
+    r"|page not found|access (is )?denied|too many requests|traceback|sqlstate|bad gateway|internal server error|service unavailable|session (has )?expired|under (maintenance|construction)|link (has expired|is no longer valid)|temporarily unavailable"
     r"|メンテナンス中|混み合って|期限切れ|見つかりません|エラーが発生|利用できません|しばらくしてから|アクセスの確認中です|ロボットでないこと|アクセスが拒否|権限がありません"
-    r"|página no encontrada|acceso denegado|page (non trouvée|introuvable)|accès (refusé|interdit)|session a expiré|seite nicht gefunden|zugriff verweigert|wartungsarbeiten"
-    r"|страница не найдена|доступ запрещ|технические работы"
+    r"|página no encontrada|acceso denegado|en mantenimiento|sesión (ha )?(caducado|expirado)|enlace (ya no|ha caducado)|error interno del servidor"
+    r"|page (non trouvée|introuvable)|accès (refusé|interdit)|session a expiré|maintenance en cours|lien n'est plus valable|erreur interne du serveur"
+    r"|seite nicht gefunden|zugriff verweigert|wartungsarbeiten|sitzung (ist )?abgelaufen|link ist (nicht mehr gültig|abgelaufen)|interner serverfehler"
+    r"|страница не найдена|доступ запрещ|технические работы|перемещена или удалена|ссылка устарела|внутренняя ошибка сервера|сеанс истёк"
+    r"|pagina non trovata|accesso negato|pagina niet gevonden|toegang geweigerd|페이지를 찾을 수 없|접근이 거부"
+    # scripts and checks of the browser
     r"|(enable|turn on|aktivier\w*|activ\w*|requires?) .{0,12}javascript|javascript.{0,12}(無効|有効|disabled|required)|noscript|cookies?.{0,12}(script|スクリプト)|スクリプトが(動かない|無効)|jsをオン|scripts? (off|must|in your browser|may be blocked)|(scripts|les scripts)\b.{0,40}(vide|vacía|charger)"
-    r"|verifying that you are human|vérification de votre navigateur|browser wird geprüft|без скриптов|(проверка|проверяем).{0,12}браузер|включите.{0,12}скрипт"
+    r"|verifying that you are human|vérification de votre navigateur|browser wird geprüft|без скриптов|(проверка|проверяем).{0,12}браузер|включите.{0,12}скрипт|abilita javascript|schakel javascript in|자바스크립트를"
 )
 # Words that stand for a value that a program didn't have, and marks for a blank to be filled
 RAW = r"\[object object\]|(?<![a-z\d_`'\"「『])(?:null|none|undefined|nan|nil)(?![a-z\d_`'\"」』])"
@@ -48,7 +54,11 @@ FIELD = (
 LEAST_SHARE = 1 / 3
 #: The most characters of a line of page furniture, and the least share and number of records that hold it
 FURNITURE, FURNITURE_SHARE, FURNITURE_RECORDS = 60, 1 / 4000, 5
+#: The most characters of a short record
+SHORT = 300
 ENDS = frozenset("。！？!?.")
+#: What a title doesn't end with: it may be a question
+TITLE_ENDS = ENDS - frozenset("？?")
 _mark = regex.compile(f"(?P<raw>{RAW})|(?P<blank>{BLANK})|(?P<field>{FIELD})")
 # what every mark holds at least: most passages hold none of it, and this test is quick
 _mark_like = re.compile(r"[{<_○〇△▲●◯□■◆%$@|«\[]|null|none|undefined|nan|nil|xxx|tbd|tba|n/a|n\.n|\((?:未入力|要記入|空欄|記入)")
@@ -291,7 +301,7 @@ class ResidueModel:
             j = int(np.flatnonzero(sums == sums.max())[-1])
             total[k], size[k] = best[k], size[k] * (many[k] - j) / many[k]
         for k in heads[~late[heads] & (total[heads] < 0) & more[c.record[heads]]].tolist():
-            if c.passages[k][-1] not in ENDS or _own_line(texts[c.record[k]]):
+            if c.passages[k][-1] not in TITLE_ENDS or _own_line(texts[c.record[k]]):
                 total[k] = 0.0
         for k in c.marked().tolist():
             if not skipped[k]:
@@ -389,7 +399,7 @@ def _fit(c: Coded, seen: np.ndarray, furniture: frozenset[str], records: int, ro
     share = lambda w: np.bincount(doc_of, weights=w * size, minlength=records) / length.clip(1)
     spread_out = lambda values: _table(kept, values)
 
-    body = seen | ~c.first | np.array([p[-1] in ENDS for p in c.passages])  # else a title
+    body = seen | ~c.first | np.array([p[-1] in TITLE_ENDS for p in c.passages])  # else a title
     whole, trust = share(body.astype(float)).clip(1e-9), share((seen & body).astype(float))
     trusted = ((trust >= 0.6 * whole) & (trust > 0))[doc_of]
     sure_text = ((length >= 250) & (trust < 0.15))[doc_of]  # reliable negatives
@@ -455,18 +465,21 @@ def repeated_lines(texts: DataFrame, rows: int) -> frozenset[str]:
     return frozenset(r.line for r in found if furniture_like(r.line))
 
 
-def fit_residue_model(documents: DataFrame, text_col: str = "text", sample_rows: int = 20_000, seed: int = 3) -> ResidueModel:
+def fit_residue_model(documents: DataFrame, text_col: str = "text", sample_rows: int = 32_000, seed: int = 3) -> ResidueModel:
     """Learns from a Bernoulli sample of about sample_rows records, taken from all of the table; a documented bound.
 
-    Repeated lines are counted over all records.
+    Three eighths are drawn from all records, five from the short ones (up to SHORT characters), which most notices
+    are, so that notices of rarer languages are among them. Repeated lines are counted over all records.
     """
     kept = documents.select(F.col(f"`{text_col}`").alias("t")).where("t IS NOT NULL")
-    rows = kept.count()
-    picked = kept.sample(fraction=min(1.0, sample_rows / max(rows, 1)), seed=seed).toArrow()
+    short = F.length("t") <= SHORT
+    rows, short_rows = kept.agg(F.count("*"), F.count_if(short)).first()
+    share = lambda part, of: min(1.0, sample_rows * part / 8 / max(of, 1))
+    picked = kept.sample(fraction=share(3, rows), seed=seed).union(kept.where(short).sample(fraction=share(5, short_rows), seed=seed + 1)).toArrow()
     return learn(picked["t"].to_pylist(), repeated=repeated_lines(kept, rows))
 
 
-def with_residue(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text", sample_rows: int = 20_000, model: ResidueModel | None = None) -> DataFrame:
+def with_residue(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text", sample_rows: int = 32_000, model: ResidueModel | None = None) -> DataFrame:
     """(id, residue): for each record whether it is residue, judged over its whole text.
 
     Null, empty and blank texts and texts without a word aren't; null ids keep a row; copies are judged alike; an

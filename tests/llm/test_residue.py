@@ -125,3 +125,9 @@ def test_near_marks():
     assert R.near_marks(feats).tolist() == [*range(42, 50), 2, 60, *range(70, 77)]
     assert R.near_marks(R.np.array([2, 1, 0, 9], R.np.int32)).tolist() == [2, 1, 0, 9, R.THREE_MARKS]
     assert R.near_marks(R.np.array([2, 1, 0, 0], R.np.int32)).tolist()[-2:] == [R.THREE_MARKS, R.FOUR_MARKS]
+
+
+def test_title_may_be_a_question():
+    model = R.learn([t for _, t, _ in corpus(3000)])
+    assert model.is_residue("Where does the kettle stand? Page not found. Check the address. Access denied.")
+    assert not model.is_residue("Where does the kettle stand? The library keeps every kettle on the second shelf. We returned the lamp to the harbour yesterday.")

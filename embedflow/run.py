@@ -12,11 +12,15 @@ from pyspark.sql import functions as F
 from embedflow.answers import in_order, output_lines, summary
 from embedflow.embed import embed_records
 from embedflow.operators import protocol as P
-from embedflow.runtime import drop, materialize, publish, remove, spread
+from embedflow.runtime import drop, materialize, publish, remove, setting, spread
 from embedflow.sources import lines as L
 from embedflow.spec import EncoderSpec
 
 
+#: Records that a worker, or a stream of lines, embeds at a time: memory stays flat however large a batch is
+CHUNK = 1024
+
+
 @dataclass(frozen=True)
 class RunResult:
     model: str
@@ -41,7 +45,8 @@ def run_lines(lines: DataFrame, out: str, spec: EncoderSpec = EncoderSpec()) ->
     """
     parsed = materialize(P.with_batches(P.parse_lines(lines), stream_col="file"), "parsed")
     todo = parsed.where("kind = 'record'").select("file", "batch_no", "line_no", "id_json", "text")
-    records = materialize(embed_records(spread(todo, "line_no"), spec), "records")
+    with setting(lines.sparkSession, "spark.sql.execution.arrow.maxRecordsPerBatch", str(CHUNK)):
+        records = materialize(embed_records(spread(todo, "line_no"), spec), "records")
     spark, made = lines.sparkSession, f"{out}/.partial-{uuid.uuid4().hex}"
     in_order(output_lines(records, parsed, spec)).write.text(f"{made}/vectors")
     P.quarantine(parsed).select("file", "line_no", "line", "skip_reason", "message").write.parquet(f"{made}/skipped")
@@ -58,10 +63,6 @@ def run_files(spark: SparkSession, path: str, out: str, spec: EncoderSpec = Enco
     return run_lines(L.read_lines(spark, path), out, spec)
 
 
-#: Records of a batch that are embedded at a time while lines come in one by one
-CHUNK = 1024
-
-
 def run_stream(spark: SparkSession, source: Iterable[bytes], answer: Callable[[str], None], skip: Callable[[str], None], spec: EncoderSpec = EncoderSpec()) -> RunResult:
     """Lines that come in one by one, such as standard input, each batch answered at its end; a \\n ends a line.
 

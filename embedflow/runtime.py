@@ -8,6 +8,8 @@ import os
 import tempfile
 import uuid
 import zipfile
+from collections.abc import Iterator
+from contextlib import contextmanager
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
@@ -129,6 +131,17 @@ def drop(table: DataFrame) -> None:
     remove(table.sparkSession, table._embedflow_table)
 
 
+@contextmanager
+def setting(spark: SparkSession, key: str, value: str) -> Iterator[None]:
+    """A session setting for what runs inside."""
+    before = spark.conf.get(key, None)
+    spark.conf.set(key, value)
+    try:
+        yield
+    finally:
+        spark.conf.unset(key) if before is None else spark.conf.set(key, before)
+
+
 def remove(spark: SparkSession, path: str) -> None:
     at, fs = _file_system(spark, path)
     fs.delete(at, True)

@@ -225,20 +225,19 @@ def search_beyond(first: DataFrame, near: DataFrame, forest: V.Forest, dim: int,
 
     def place(asks: bool):
         def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for b in (whole.slice(start, 2048) for whole in batches for start in range(0, whole.num_rows, 2048)):
+            # a slice at a time, whatever the number of cells and sets; a row's copies stay together, as they pack well
+            step = max(1, 16_384 // max(sets, 1 << levels))
+            for b in (whole.slice(start, step) for whole in batches for start in range(0, whole.num_rows, step)):
                 apart = box.value.cell_distances(V.unpacked(b.column("code"), dim, 12), levels)
-                part = (V.mix64(b.column("id").to_numpy()) % np.uint64(sets)).astype(np.int32)
-                home = apart.argmin(axis=1)
                 if asks:  # to each cell in question
-                    limit = stop * np.maximum(0, 2 - 2 * b.column("least").to_numpy())
-                    for cell in range(apart.shape[1]):
-                        at = np.flatnonzero(apart[:, cell] <= limit)
-                        own = b.take(pa.array(at))
-                        yield pa.RecordBatch.from_arrays([pa.array(np.full(len(at), cell)), pa.array(part[at]), own.column("id"), own.column("code"), own.column("least")], names=names)
+                    row, cell = np.nonzero(apart <= (stop * np.maximum(0, 2 - 2 * b.column("least").to_numpy()))[:, None])
+                    part = (V.mix64(b.column("id").to_numpy()) % np.uint64(sets))[row]
                 else:  # to each set, in its cell
-                    for n in range(sets):
-                        columns = [pa.array(home), pa.array(np.full(b.num_rows, n, np.int32)), b.column("id"), b.column("code"), pa.nulls(b.num_rows, pa.float32())]
-                        yield pa.RecordBatch.from_arrays(columns, names=names)
+                    row, part = np.repeat(np.arange(b.num_rows), sets), np.tile(np.arange(sets), b.num_rows)
+                    cell = apart.argmin(axis=1)[row]
+                own = b.take(pa.array(row))
+                least = own.column("least") if asks else pa.nulls(len(row), pa.float32())
+                yield pa.RecordBatch.from_arrays([pa.array(cell), pa.array(part.astype(np.int32)), own.column("id"), own.column("code"), least], names=names)
 
         return run
 

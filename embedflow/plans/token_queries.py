@@ -131,7 +131,8 @@ def hashed_truncated(spark, d):
 
 def hashed_components(t):
     v = t.where(has_words("text")).select("doc_id", hashed_vector(F.col("text")).alias("v"))
-    return v.select("doc_id", F.posexplode("v").alias("j", "x")).select("doc_id", "j", F.round("x", 6).alias("v"))
+    # outer: else a filter on the vector's size is inferred, pushed below, and the vector computed twice
+    return v.select("doc_id", F.posexplode_outer("v").alias("j", "x")).select("doc_id", "j", F.round("x", 6).alias("v"))
 
 
 @query("SELECT doc_id, fnv FROM (SELECT doc_id, printf('%016x', list_reduce(list_prepend(14695981039346656037::HUGEINT, list_transform(range(octet_length(encode(source))), lambda i: ('0x' || substr(hex(encode(source)), 2 * i::INT + 1, 2))::HUGEINT)), lambda h, b: (xor(h, b) * 1099511628211) % 18446744073709551616)::UBIGINT) AS fnv FROM documents WHERE source <> '')")

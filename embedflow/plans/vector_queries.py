@@ -22,8 +22,9 @@ def emb(spark, d):
 
 
 def rows(df, key, v):
-    """(key, pos, value), rounded: floats of two engines differ in the last digit."""
-    return df.select(*key, F.posexplode(v).alias("pos", "_x")).select(*key, "pos", F.round("_x", 6).alias("value"))
+    """(key, pos, value), rounded: floats of two engines differ in the last digit. v is never null or empty, and
+    exploded as outer: else a filter on its size is inferred, and v computed twice."""
+    return df.select(*key, F.posexplode_outer(v).alias("pos", "_x")).select(*key, "pos", F.round("_x", 6).alias("value"))
 
 
 def unnested(sql_list, source="embeddings", key="vec_id"):
@@ -38,7 +39,7 @@ NORM_SQL = f"sqrt(list_sum(list_transform({E}, lambda x: x * x)))"
 def unit_vectors(spark, d):
     """Exact float values: the norm in double, the division in float."""
     u = delivered(spark, d).where(V.is_usable(F.col("embedding"), DIM))
-    return u.select("out_id", F.posexplode(V.l2_normalize(F.col("embedding"))).alias("pos", "value"))
+    return u.select("out_id", F.posexplode_outer(V.l2_normalize(F.col("embedding"))).alias("pos", "value"))
 
 
 @query(f"SELECT run_no, round(min(n), 5) AS least, round(max(n), 5) AS most, count(*) AS vectors, count(*) FILTER (WHERE abs(n - 1) > 0.001) AS not_unit FROM (SELECT run_no, {NORM_SQL} AS n FROM ({DELIVERED_SQL}) WHERE {USABLE_SQL}) GROUP BY run_no")
@@ -179,7 +180,7 @@ INT8_SQL = f"SELECT vec_id, embedding, {SCALE_SQL} AS s FROM (SELECT vec_id, emb
 @query(f"SELECT vec_id, CAST(i AS INT) AS pos, CAST(greatest(-127, least(127, round(embedding[i + 1]::DOUBLE / s))) AS INT) AS code, round(s, 9) AS scale FROM ({INT8_SQL}), range(64) t(i)")
 def int8_rows(spark, d):
     e = emb(spark, d).withColumn("s", V.int8_scale(F.col("embedding")))
-    return e.select("vec_id", F.posexplode(V.int8_codes(F.col("embedding"), F.col("s"))).alias("pos", "code"), F.round("s", 9).alias("scale"))
+    return e.select("vec_id", F.posexplode_outer(V.int8_codes(F.col("embedding"), F.col("s"))).alias("pos", "code"), F.round("s", 9).alias("scale"))
 
 
 @query("WITH t AS (SELECT max(list_max(list_transform(embedding, lambda x: abs(x::DOUBLE)))) / 127 AS s FROM embeddings) SELECT vec_id, CAST(i AS INT) AS pos, CAST(greatest(-127, least(127, round(embedding[i + 1]::DOUBLE / s))) AS INT) AS code FROM embeddings, t, range(64) r(i)")
@@ -187,14 +188,14 @@ def int8_tensor(spark, d):
     """One scale for the whole table: an aggregate of one row."""
     scale = emb(spark, d).agg(F.max(V.largest(F.col("embedding"))).alias("m")).select((F.when(F.col("m") == 0, 127.0).otherwise(F.col("m")) / 127.0).alias("s"))
     e = emb(spark, d).withColumn("s", scale.scalar())
-    return e.select("vec_id", F.posexplode(V.int8_codes(F.col("embedding"), F.col("s"))).alias("pos", "code"))
+    return e.select("vec_id", F.posexplode_outer(V.int8_codes(F.col("embedding"), F.col("s"))).alias("pos", "code"))
 
 
 @query("""SELECT vec_id, block, round(s, 9) AS scale, CAST(list_sum(list_transform(b, lambda x: CAST(greatest(-127, least(127, round(x / s))) AS BIGINT))) AS BIGINT) AS code_sum FROM (
 SELECT vec_id, block, b, CASE WHEN list_max(list_transform(b, lambda x: abs(x))) = 0 THEN 1 ELSE list_max(list_transform(b, lambda x: abs(x))) / 127 END AS s FROM (
 SELECT vec_id, CAST(k AS INT) AS block, embedding[k * 16 + 1:k * 16 + 16]::DOUBLE[] AS b FROM embeddings, range(4) t(k)))""")
 def int8_blocks(spark, d):
-    e = emb(spark, d).select("vec_id", F.posexplode(V.int8_blocks(F.col("embedding"), WIDTH, 16)).alias("block", "x"))
+    e = emb(spark, d).select("vec_id", F.posexplode_outer(V.int8_blocks(F.col("embedding"), WIDTH, 16)).alias("block", "x"))
     return e.select("vec_id", "block", F.round("x.scale", 9).alias("scale"), F.aggregate("x.codes", F.lit(0).cast("long"), lambda a, x: a + x).alias("code_sum"))
 
 
@@ -262,4 +263,4 @@ def encoder_layer(spark, d):
     met = met.select("p", V.let(F.col("o"), lambda o: V.residual(F.col("x"), V.linear(o, _rule(64, 8, 3)))).alias("x"))
     unit = lambda x: V.let(V.layer_norm(x), lambda m: V.let(V.linear(m, _rule(16, 64, 4)), lambda g: V.gated(g, 8, "silu")))
     y = met.select(F.col("p").alias("vec_id"), V.let(F.col("x"), lambda x: V.let(unit(x), lambda u: V.residual(x, V.linear(u, _rule(64, 8, 5))))).alias("y"))
-    return y.select("vec_id", F.posexplode("y").alias("pos", "value")).withColumn("value", F.round("value", 5))
+    return y.select("vec_id", F.posexplode_outer("y").alias("pos", "value")).withColumn("value", F.round("value", 5))
